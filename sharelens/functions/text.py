@@ -24,6 +24,7 @@ HTTP_URL_PATTERN = (
     r"([-a-zA-Z0-9()@:%_\+.~#?&\/\/=]*)"
 )
 TOKEN_PATTERN = r"([\p{L}\p{N}_]{2,})"
+LATIN_TOKEN_PATTERN = r"(?<![\p{L}\p{N}_])([a-z]{2,}+)(?![\p{L}\p{N}_])"
 META_TAG_PATTERN = r"""(?i)(<meta\b(?:[^>"']|"[^"]*"|'[^']*')*>)"""
 META_NAME_PATTERN = r"""(?i:\sname\s*=\s*)(?:"[^"]*[dD]esc[^"]*"|'[^']*[dD]esc[^']*'|[^\s"'>]*[dD]esc)"""
 META_CONTENT_PATTERN = r"""(?i:\scontent\s*=\s*)(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
@@ -62,14 +63,24 @@ def extract_host(url: Column, normalize: bool = False) -> Column:
 
 
 def remove_urls(text: Column) -> Column:
-    # (?U) makes the word boundary Unicode-aware on every Java release; the
-    # pattern needs a dot, so texts without one skip the regex engine.
-    pattern = f"(?U){BARE_DOMAIN_PATTERN}|{HTTP_URL_PATTERN}"
-    return F.when(text.contains("."), F.regexp_replace(text, pattern, "")).otherwise(text)
+    """Text without bare domains and http(s) URLs.
+
+    Both patterns need a dot followed by a letter, digit or parenthesis; texts
+    without one are left alone. In the others a first alternative swallows each
+    run of domain characters that no dot follows and puts it back, so the
+    backtracking domain pattern only starts where it can match.
+    """
+    # (?U) makes the word boundary Unicode-aware on every Java release
+    pattern = rf"(?U){HTTP_URL_PATTERN}|([-a-zA-Z0-9@:%_\+~#=]++(?!\.))|{BARE_DOMAIN_PATTERN}"
+    return F.when(
+        text.rlike(r"\.[a-zA-Z0-9()]"), F.regexp_replace(text, pattern, "$3")
+    ).otherwise(text)
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(1))
+def tokens(text: Column, latin_only: bool = False) -> Column:
+    """Lowercased words of two or more characters; ``latin_only`` keeps those of a-z alone."""
+    pattern = LATIN_TOKEN_PATTERN if latin_only else TOKEN_PATTERN
+    return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1))
 
 
 def is_latin(word: Column) -> Column:

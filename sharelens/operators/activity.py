@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sharelens.functions import numeric as N
-from sharelens.session import bounded_map, collect_bounded
+from sharelens.session import bounded_map, collect_bounded, settle
 
 BINS = [-2, -1, 0, 1, 2]
 MAX_MONTHS = 5_000
@@ -58,14 +58,16 @@ def activity_shares(activity: DataFrame, scores: DataFrame, bins: int = 30, frac
     Communities without a score are left out of shares and totals.
     """
     edges = score_edges(scores, bins, fractions)
-    labels = scores.select(F.col("id").alias("subreddit"), N.digitize(F.col("score"), edges).alias("partisan"))
-    binned = (
+    labels = scores.withColumn("edges", edges).select(
+        F.col("id").alias("subreddit"), N.digitize(F.col("score"), F.col("edges")).alias("partisan")
+    )
+    # months x bins rows from here on; settled because totals and shares both read it
+    binned = settle(
         merge_user_bins(activity)
         .join(labels, "subreddit")
         .groupBy("partisan", "month", F.col("last_month_user_bin").alias("user_bin"))
         .agg(F.sum("num_comments").alias("num_comments"))
     )
-    # months x bins rows: small from here on
     totals = bounded_map(
         binned.groupBy("month").agg(F.sum("num_comments").alias("total")), "month", F.col("total"), MAX_MONTHS
     )
@@ -81,9 +83,9 @@ def extreme_shares(activity: DataFrame, scores: DataFrame, edges: tuple[float, f
     """Per month: shares of communities below, between and above the z edges."""
     stats = scores.agg(F.struct(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd"))).scalar()
     z = F.try_divide(F.col("score") - stats["mean"], stats["sd"])
-    labels = scores.select(
-        F.col("id").alias("subreddit"),
-        N.digitize(z, F.array(*[F.lit(float(e)) for e in edges])).alias("label"),
+    limits = F.array(*[F.lit(float(e)) for e in edges])
+    labels = scores.select(F.col("id").alias("subreddit"), z.alias("z")).select(
+        "subreddit", N.digitize(F.col("z"), limits).alias("label")
     ).where("label is not null")
     joined = activity.join(labels, "subreddit")
     sums = [

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sharelens.functions.text import SITE_HOSTS, extract_host, extract_url, has_link
-from sharelens.session import hint_small
+from sharelens.session import hint_small, is_small, settle
 
-COMMENT_COLUMNS = ["author", "subreddit", "host", "url", "id", "score"]
+MAX_BROADCAST_PAIRS = 1_000_000
 
 
 def link_comments(comments: DataFrame, body: str = "body", compat: bool = False) -> DataFrame:
@@ -40,9 +40,14 @@ def drop_heavy_pairs(df: DataFrame, heavy: DataFrame) -> DataFrame:
     """Rows whose (author, host) is not heavy, NULL keys matched as values.
 
     Each heavy pair stands for at least ``pair_limit`` posts, so this side is
-    ``pair_limit`` times smaller than the rows: AQE can broadcast it, and
-    otherwise splits a hot pair on the row side.
+    far smaller than the rows. It is settled and counted: a short list is
+    broadcast and the rows do not move; otherwise Spark joins by shuffle and
+    splits a hot pair on the row side.
     """
+    return _without(df, hint_small(settle(heavy), MAX_BROADCAST_PAIRS))
+
+
+def _without(df: DataFrame, heavy: DataFrame) -> DataFrame:
     heavy = heavy.select(F.col("author").alias("__a"), F.col("host").alias("__h"))
     same = F.col("author").eqNullSafe(F.col("__a")) & F.col("host").eqNullSafe(F.col("__h"))
     return df.join(heavy, same, "left_anti")
@@ -77,12 +82,26 @@ def select_link_posts(
     host_floor: int = 200,
 ) -> DataFrame:
     """Posts that survive the pair limit, the allow-list, the site filter and the host floor."""
-    shared = host_totals(comments, pair_limit).where(F.col("sum_count") > host_floor)
+    # the site filter drops NULL hosts anyway; without them one table can carry
+    # both results of the pair counts, which then come from one scan and shuffle
+    comments = comments.where(F.col("host").isNotNull())
+    pairs = pair_counts(comments)
+    heavy = pairs.where(F.col("count") >= pair_limit).select(
+        "author", "host", F.lit(None).cast("bigint").alias("total")
+    )
+    shared = (
+        pairs.where(F.col("count") < pair_limit)
+        .groupBy("host")
+        .agg(F.sum("count").alias("total"))
+        .where(F.col("total") > host_floor)
+        .select(F.lit(None).cast("string").alias("author"), "host", "total")
+    )
+    found = settle(heavy.unionByName(shared))
     posts = drop_site_hosts(comments)
     if allowed is not None:
         posts = keep_hosts(posts, allowed)
-    posts = drop_heavy_pairs(posts, heavy_pairs(comments, pair_limit))
-    posts = posts.join(shared.select("host"), "host", "left_semi")
+    posts = keep_hosts(posts, found.where("total is not null"))
+    posts = _without(posts, hint_small(found.where("total is null"), MAX_BROADCAST_PAIRS))
     if host_meta is not None:
         posts = posts.join(host_meta, "host")
     return posts
@@ -91,24 +110,22 @@ def select_link_posts(
 def host_sub_counts(comments: DataFrame, pair_limit: int | None = 20) -> DataFrame:
     """``host, subreddit, count`` over posts of light pairs.
 
-    Counts by (author, host, subreddit) first: the raw rows cross the network
-    once, after map-side counting, and the pair filter works on the counts.
+    With a broadcast list of heavy pairs the rows are filtered where they are
+    read and counted by (host, subreddit) before any shuffle. With too many
+    heavy pairs they are first counted by (author, host, subreddit), so that
+    counts and not raw rows meet the pairs.
     """
-    if pair_limit is None:
-        return comments.groupBy("host", "subreddit").agg(F.count(F.lit(1)).alias("count"))
-    posts = comments.groupBy("author", "host", "subreddit").agg(
-        F.count(F.lit(1)).alias("count")
-    )
-    heavy = (
-        posts.groupBy("author", "host")
-        .agg(F.sum("count").alias("n"))
-        .where(F.col("n") >= pair_limit)
-    )
-    return (
-        drop_heavy_pairs(posts, heavy)
-        .groupBy("host", "subreddit")
-        .agg(F.sum("count").alias("count"))
-    )
+    posts = comments
+    if pair_limit is not None:
+        heavy = settle(heavy_pairs(comments, pair_limit))
+        if is_small(heavy, MAX_BROADCAST_PAIRS):
+            posts = _without(posts, F.broadcast(heavy))
+        else:
+            posts = _without(
+                posts.groupBy("author", "host", "subreddit").agg(F.count(F.lit(1)).alias("n")), heavy
+            )
+            return posts.groupBy("host", "subreddit").agg(F.sum("n").alias("count"))
+    return posts.groupBy("host", "subreddit").agg(F.count(F.lit(1)).alias("count"))
 
 
 def host_post_totals(counts: DataFrame) -> DataFrame:
@@ -122,6 +139,7 @@ def top_hosts(counts: DataFrame, limit: int = 10_000) -> DataFrame:
 
 
 def counts_of_top_hosts(counts: DataFrame, limit: int = 10_000) -> DataFrame:
+    """Counts of the most posted hosts; reads ``counts`` twice, so pass a stored table."""
     hosts = top_hosts(counts, limit).select("host")
     if limit <= 100_000:
         hosts = F.broadcast(hosts)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sharelens.functions.text import english_stop_words, is_latin, remove_urls, tokens
+from sharelens.functions.text import english_stop_words, remove_urls, tokens
+from sharelens.session import settle
 
 
 def pmi(counts: DataFrame, x: str, y: str, count: str = "count") -> DataFrame:
@@ -15,7 +16,8 @@ def pmi(counts: DataFrame, x: str, y: str, count: str = "count") -> DataFrame:
     sums; a window per label would hold a large label in one task. Communities
     whose name contains ``u_`` leave the result but stay in the totals.
     """
-    xy = counts.groupBy(x, y).agg(F.sum(count).alias("count"))
+    # read four times below: settled, so that the rows behind it are read once
+    xy = settle(counts.groupBy(x, y).agg(F.sum(count).alias("count")))
     x_total = xy.groupBy(x).agg(F.sum("count").alias(f"{x}_count"))
     y_total = xy.groupBy(y).agg(F.sum("count").alias(f"{y}_count"))
     n = xy.agg(F.sum("count").cast("double")).scalar()
@@ -59,9 +61,8 @@ def word_counts(
     """
     if stop_words is None:
         stop_words = english_stop_words(texts.sparkSession)
-    words = texts.select(cluster, F.explode(tokens(remove_urls(F.col(text)))).alias("word"))
-    if latin_only:
-        words = words.where(is_latin(F.col("word")))
+    found = tokens(remove_urls(F.col(text)), latin_only)
+    words = texts.select(cluster, F.explode(found).alias("word"))
     if stop_words:
         words = words.where(~F.col("word").isin(list(stop_words)))
     counted = words.groupBy(cluster, "word").agg(F.count(F.lit(1)).alias("n_wc"))
@@ -72,6 +73,7 @@ def word_counts(
 
 def word_pmi(counted: DataFrame, cluster: str = "cluster", floor: int = 500) -> DataFrame:
     """``cluster, word, n_wc, n_w, n_c, pmi``; the floor on n_w only hides rows."""
+    counted = settle(counted)  # read four times; the texts behind it only once
     n_c = counted.groupBy(cluster).agg(F.sum("n_wc").alias("n_c"))
     n_w = counted.groupBy("word").agg(F.sum("n_wc").alias("n_w")).where(F.col("n_w") >= floor)
     n = counted.agg(F.sum("n_wc").cast("double")).scalar()

@@ -178,8 +178,8 @@ def skews(
     One grouping serves all clusters and dimensions: mean z, and the share of
     members beyond the percentile threshold on the side of the mean.
     """
-    ranked = clustered(percentiles(scores), clustering)
-    per = _with_moments(ranked, scores).groupBy(F.col("cluster_name").alias("cluster"), F.col("dim").alias("axis")).agg(
+    ranked = percentiles(scores)  # checkpointed, so the moments come from it too
+    per = _with_moments(clustered(ranked, clustering), ranked).groupBy(F.col("cluster_name").alias("cluster"), F.col("dim").alias("axis")).agg(
         F.avg(_z()).alias("mean_z"),
         (F.avg((F.col("pctl") < threshold).cast("double")) * 100.0).alias("below"),
         (F.avg((F.col("pctl") > 100 - threshold).cast("double")) * 100.0).alias("above"),

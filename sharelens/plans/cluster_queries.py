@@ -75,8 +75,8 @@ def top_per_cluster(v: Views):
         FROM documents) WHERE regexp_full_match(word, '[a-z]+') GROUP BY word""",
 )
 def remove_urls_tokens(v: Views):
-    words = v.documents.select(F.explode(T.tokens(T.remove_urls(F.col("text")))).alias("word"))
-    return words.where(T.is_latin(F.col("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    words = v.documents.select(F.explode(T.tokens(T.remove_urls(F.col("text")), latin_only=True)).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 _LONG_TEXT = "concat('http://www.site', doc_id, '.com/a?b=c ', text, ' end.of', doc_id, ' x')"

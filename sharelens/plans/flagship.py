@@ -9,14 +9,16 @@ from sharelens.operators import links, stats
 from sharelens.operators import vectors as ops
 from sharelens.plans.registry import query
 from sharelens.plans.views import PAIR_LIMIT, WIDTH, Views, rounded
+from sharelens.session import settle
 
 
 def host_leaning(v: Views) -> DataFrame:
     """Hosts at both ends of the partisan dimension, from raw comments."""
-    counts = links.drop_site_hosts(links.host_sub_counts(v.comments(), PAIR_LIMIT))
+    counts = settle(links.drop_site_hosts(links.host_sub_counts(v.comments(), PAIR_LIMIT)))
     top = links.counts_of_top_hosts(counts, 10_000)
     hosts = ops.host_vectors(top, v.vectors().select("id", "vec"), WIDTH).withColumnRenamed("host", "id")
-    scores = ops.score(hosts, v.dimensions().where(F.col("name") == "partisan"))
+    # both ends of the ranking read the scores
+    scores = settle(ops.score(hosts, v.dimensions().where(F.col("name") == "partisan")))
     return rounded(stats.top_bottom(scores, 20), "score")
 
 

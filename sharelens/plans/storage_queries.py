@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sharelens.operators import dimensions as dims
 from sharelens.operators import pmi
+from sharelens.plans.cluster_queries import _word_counts_sql
 from sharelens.plans.registry import query
 from sharelens.plans.views import STOP_WORDS, Views, long_vector, rounded
 from sharelens.session import scratch_path
@@ -138,9 +139,7 @@ def month_table_roundtrip(v: Views):
 
 @query(
     "word_table_roundtrip",
-    "SELECT word, count(*) AS count FROM tokens_v WHERE regexp_full_match(word, '[a-z]+') AND word NOT IN ("
-    + ", ".join(f"'{w}'" for w in STOP_WORDS)
-    + ") GROUP BY word HAVING count(*) >= 100",
+    f"SELECT word, CAST(sum(n_wc) AS BIGINT) AS count FROM {_word_counts_sql('0', '')} GROUP BY word HAVING sum(n_wc) >= 100",
 )
 def word_table_roundtrip(v: Views):
     path = scratch_path(v.spark, "words")

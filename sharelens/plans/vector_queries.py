@@ -10,10 +10,11 @@ from sharelens.operators import links, neighbours
 from sharelens.operators import vectors as ops
 from sharelens.plans.registry import query
 from sharelens.plans.views import SEEDS, TOP_HOSTS, WIDTH, Views, long_vector, rounded
+from sharelens.session import settle
 
 
 def host_vectors_of(v: Views):
-    counts = links.counts_of_top_hosts(links.host_sub_counts(v.comments(), None), TOP_HOSTS)
+    counts = links.counts_of_top_hosts(settle(links.host_sub_counts(v.comments(), None)), TOP_HOSTS)
     return ops.host_vectors(counts, v.vectors().select("id", "vec"), WIDTH)
 
 
@@ -212,5 +213,5 @@ def pooled_text_vectors(v: Views):
 )
 def pooled_word_vectors(v: Views):
     docs = v.embeddings.select((F.col("vec_id") / 10).cast("bigint").alias("doc")).distinct()
-    targets = docs.select("doc", F.explode(F.array(F.col("doc") % 7, F.col("doc") % 7 + 1)).cast("int").alias("token"))
+    targets = docs.select("doc", F.explode(F.array(*[(F.col("doc") % 7 + i).cast("int") for i in (0, 1)])).alias("token"))
     return long_vector(ops.pool_tokens(v.token_vectors(), [2, 3, 4, 5], WIDTH, targets), "doc", "tokens")

@@ -364,7 +364,7 @@ CTES = {
         JOIN author_shares_v s ON s.author = c.author GROUP BY 1, 2""",
     "month_pairs_v": """
         SELECT strftime(o_orderdate, '%Y-%m') AS m1, strftime(l_shipdate, '%Y-%m') AS m2,
-               corr(l_quantity, l_extendedprice) AS pearson_r,
+               CASE WHEN isnan(corr(l_quantity, l_extendedprice)) THEN NULL ELSE corr(l_quantity, l_extendedprice) END AS pearson_r,
                avg(CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END) AS proportion_over,
                avg(CASE WHEN l_quantity > 5 THEN 1.0 ELSE 0.0 END) AS t1,
                avg(CASE WHEN l_quantity > 15 THEN 1.0 ELSE 0.0 END) AS t2,

@@ -47,11 +47,14 @@ def collect_bounded(df: DataFrame, limit: int, what: str) -> list[Row]:
     return rows
 
 
+def is_small(df: DataFrame, max_rows: int) -> bool:
+    """Counts at most ``max_rows + 1`` rows."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def hint_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast hint only after counting; a larger side keeps Spark's shuffle join."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def bounded_map(df: DataFrame, key: str, value: Column, limit: int = 1_000) -> Column:
