@@ -67,11 +67,11 @@ def remove_urls(text: Column) -> Column:
 
     Both patterns need a dot followed by a letter, digit or parenthesis; texts
     without one are left alone. In the others a first alternative swallows each
-    run of domain characters that no dot follows and puts it back, so the
-    backtracking domain pattern only starts where it can match.
+    run of domain characters that neither a dot nor a slash follows and puts it
+    back, so the backtracking domain pattern only starts where it can match.
     """
     # (?U) makes the word boundary Unicode-aware on every Java release
-    pattern = rf"(?U){HTTP_URL_PATTERN}|([-a-zA-Z0-9@:%_\+~#=]++(?!\.))|{BARE_DOMAIN_PATTERN}"
+    pattern = rf"(?U){HTTP_URL_PATTERN}|([-a-zA-Z0-9@:%_\+~#=]++(?![./]))|{BARE_DOMAIN_PATTERN}"
     return F.when(
         text.rlike(r"\.[a-zA-Z0-9()]"), F.regexp_replace(text, pattern, "$3")
     ).otherwise(text)

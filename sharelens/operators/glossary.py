@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sharelens.functions import text as T
 from sharelens.operators.positions import with_position
-from sharelens.session import hint_small
+from sharelens.session import bounded_map, hint_small
 
 GLOSSARY_DIMENSIONS = ["age", "gender", "partisan"]
 
@@ -63,17 +63,30 @@ def glossary_lines(names: DataFrame, bins: DataFrame, width: int = 130) -> DataF
 
 
 def glossary_sections(lines: DataFrame) -> DataFrame:
-    """One LaTeX block per letter; an even number of lines gets a closing break.
+    """The glossary file as ordered rows ``first_letter, position, line``.
 
-    A glossary lists the names printed in figures, so a letter's lines fit one row.
+    Each letter starts with a header at position -1; after an even number of
+    lines the last one gets a closing break. Rows stay rows, so no letter has
+    to fit into one task. Sort by letter and position to write the file.
     """
-    per = lines.groupBy("first_letter").agg(
-        F.array_sort(F.collect_list(F.struct("position", "line"))).alias("rows")
+    totals = bounded_map(
+        lines.groupBy("first_letter").agg(F.count(F.lit(1)).alias("n")), "first_letter", F.col("n")
     )
-    body = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")
-    closing = F.when(F.size("rows") % 2 == 0, F.lit("\\\\")).otherwise(F.lit(""))
-    header = F.concat(F.lit(r"\glossaryheader{"), F.col("first_letter"), F.lit("} &\n"))
-    return per.select("first_letter", F.concat(header, body, closing).alias("text")).orderBy("first_letter")
+    n = totals[F.col("first_letter")]
+    closing = F.when((F.col("position") == n - 1) & (n % 2 == 0), F.lit("\\\\")).otherwise(F.lit(""))
+    body = lines.select(
+        "first_letter", "position", F.concat("line", closing).alias("line")
+    )
+    heads = lines.select("first_letter").distinct().select(
+        "first_letter",
+        F.lit(-1).cast("bigint").alias("position"),
+        F.concat(F.lit(r"\glossaryheader{"), "first_letter", F.lit("} &")).alias("line"),
+    )
+    return heads.unionByName(body)
+
+
+def write_order(sections: DataFrame) -> DataFrame:
+    return sections.orderBy("first_letter", "position").select("line")
 
 
 def page_descriptions(pages: DataFrame) -> DataFrame:

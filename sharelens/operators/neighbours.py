@@ -43,14 +43,15 @@ def _against(ids, left, other_ids, right, k, same):
 
 
 def nearest_neighbours(
-    vectors: DataFrame, k: int = 10, block_rows: int = 2048, count: int | None = None
+    vectors: DataFrame, k: int = 10, block_rows: int = 8192, count: int | None = None
 ) -> DataFrame:
     """``c1, c2, similarity, rank``: the k best others of every id, self excluded.
 
     Ids hash into blocks of about ``block_rows``. Each unordered block pair is
     one task that serves both of its blocks, so n^2/2 products run as dense
     matrix strips, and a task hands on only its k best per id. Memory per task
-    depends on the block size, not on n.
+    depends on the block size, not on n; larger blocks mean fewer copies of the
+    vectors and fewer candidates in the final ranking.
     """
     count = vectors.count() if count is None else count
     blocks = max(1, math.ceil(count / block_rows))

@@ -94,11 +94,14 @@ def cosine_to_one(vectors: DataFrame, vector: list[float]) -> DataFrame:
     )
 
 
-def random_dimension(spark, name: str, width: int, seed: int) -> DataFrame:
+def random_vector(width: int, seed: int) -> list[float]:
     """A random unit direction (normal components, normalised)."""
     vec = np.random.default_rng(seed).normal(size=width)
-    vec = vec / np.linalg.norm(vec)
-    return spark.createDataFrame([(name, vec.tolist())], "name string, vec array<double>")
+    return (vec / np.linalg.norm(vec)).tolist()
+
+
+def random_dimension(spark, name: str, width: int, seed: int) -> DataFrame:
+    return spark.createDataFrame([(name, random_vector(width, seed))], "name string, vec array<double>")
 
 
 def pool_tokens(

@@ -83,12 +83,41 @@ def glossary_of(v: Views):
     return ops.glossary_lines(described, bins)
 
 
-@query("glossary_lines")
+def _tag(dim: str) -> str:
+    return f"'{{gstd_{dim}_' || replace(CAST(max(CASE WHEN dim = '{dim}' THEN CAST(greatest(-3, least(3, trunc(z))) AS INTEGER) END) AS VARCHAR), '-', 'n') || '}}'"
+
+
+_SHORT = (
+    "CASE WHEN d IN ('Subreddit no longer exists') THEN '\\textit{Community banned or deleted prior to publication}' ELSE "
+    + _tex_sql("d")
+    + " END"
+)
+_FIRST_LINE = r"""CASE WHEN length(rtrim(w)) <= 130 THEN rtrim(w) ELSE regexp_extract(w, '^(.{0,129}\S)\s', 1) END"""
+_CLEAN_TEXT = _CLEAN.replace("'# [r/x_' || doc_id || '](http://a.b/c) *b* 漢{50%} ' || text", "text")
+_LINES = f"""
+    SELECT n.first_letter, n.position, n.id, '\\glossarytitle{{' || replace(n.id, '_', '\\_') || '}}' || t.tags
+           || ' \\newline \\glossarydesc{{' || ({_SHORT}) || '}}' || CASE WHEN n.position % 2 = 1 THEN '&' ELSE '\\\\' END AS line
+    FROM (SELECT id, upper(substr(id, 1, 1)) AS first_letter,
+                 row_number() OVER (PARTITION BY upper(substr(id, 1, 1)) ORDER BY lower(id), id) - 1 AS position FROM vectors_v) n
+    JOIN (SELECT id, {_tag('age')} || {_tag('gender')} || {_tag('partisan')} AS tags FROM z_v GROUP BY id) t ON t.id = n.id
+    JOIN (SELECT id, CASE WHEN c IS NULL THEN 'Subreddit no longer exists' WHEN {_FIRST_LINE} <> c THEN {_FIRST_LINE} || '...' ELSE c END AS d
+          FROM (SELECT v.id, c, regexp_replace(c, '\\s', ' ', 'g') AS w FROM vectors_v v
+                LEFT JOIN (SELECT 's' || doc_id AS id, {_CLEAN_TEXT} AS c FROM documents WHERE doc_id % 3 <> 0) x ON x.id = v.id)) d
+      ON d.id = n.id"""
+
+
+@query("glossary_lines", _LINES)
 def glossary_lines(v: Views):
     return glossary_of(v)
 
 
-@query("glossary_sections")
+@query(
+    "glossary_sections",
+    f"""
+    SELECT first_letter, position, line || CASE WHEN position = n - 1 AND n % 2 = 0 THEN '\\\\' ELSE '' END AS line
+    FROM (SELECT *, count(*) OVER (PARTITION BY first_letter) AS n FROM ({_LINES}))
+    UNION ALL SELECT DISTINCT upper(substr(id, 1, 1)), -1, '\\glossaryheader{{' || upper(substr(id, 1, 1)) || '}} &' FROM vectors_v""",
+)
 def glossary_sections(v: Views):
     return ops.glossary_sections(glossary_of(v))
 

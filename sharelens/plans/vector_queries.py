@@ -184,7 +184,12 @@ def copycat_dimension(v: Views):
     return long_vector(v.dimensions().withColumnRenamed("name", "dim"), "dim")
 
 
-@query("random_dimension")
+@query(
+    "random_dimension",
+    f"""
+    SELECT id, 'random' AS dim, round(list_inner_product(vec, {ops.random_vector(WIDTH, 42)}::DOUBLE[]), 6) + 0.0 AS score
+    FROM vectors_v""",
+)
 def random_dimension(v: Views):
     dim = ops.random_dimension(v.spark, "random", WIDTH, 42)
     return rounded(ops.score(v.vectors(), dim), "score")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sharelens.functions.text import unescape_body
+from sharelens.session import hint_small
 
 # The dump schemas, by hand so that no pass over the data infers them.
 SCHEMAS = {
@@ -42,6 +43,8 @@ MONTHLY_FILES = {
 }
 STUDY_START = "2015-01"
 
+MAX_BROADCAST_USERS = 2_000_000
+
 
 def _months(first: str, last: str) -> list[str]:
     year, month = map(int, first.split("-"))
@@ -124,11 +127,12 @@ def project_objects(df: DataFrame, kind: str) -> DataFrame:
 def human_active(df: DataFrame, users: DataFrame) -> DataFrame:
     """Rows of authors that are no bots and active.
 
-    The users are filtered before the join; Spark broadcasts them when they are
-    under its size threshold and otherwise joins by shuffle with skew splitting.
+    The users are filtered and counted first. Up to ``MAX_BROADCAST_USERS`` they
+    are broadcast and the rows stay where they were read; more are joined by
+    shuffle, where Spark splits a hot author.
     """
     wanted = users.where(~F.col("is_bot") & F.col("is_active")).select(F.col("user").alias("author"))
-    return df.join(wanted, "author", "left_semi")
+    return df.join(hint_small(wanted, MAX_BROADCAST_USERS), "author", "left_semi")
 
 
 def import_comments(df: DataFrame, users: DataFrame | None = None) -> DataFrame:
