@@ -48,5 +48,10 @@ def _opened(low: Column, high: Column) -> tuple[Column, Column]:
     return F.when(same, low - 0.5).otherwise(low), F.when(same, high + 0.5).otherwise(high)
 
 
+def pearson(a: Column | str, b: Column | str) -> Column:
+    """Correlation aggregate; NULL for a constant side, where ``corr`` would raise."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def percent_difference(minuend: Column, subtrahend: Column, total: Column) -> Column:
     return F.try_divide((minuend - subtrahend) * F.lit(100.0), total)

@@ -37,7 +37,8 @@ def difference(a: Column | str, b: Column | str) -> Column:
 
 def vector_columns(vec: Column | str, width: int, fmt: str = "_{}") -> list[Column]:
     """Wide form: one column per position."""
-    return [F.get(_col(vec), F.lit(i)).alias(fmt.format(i)) for i in range(width)]
+    vec = _col(vec)
+    return [F.get(vec, F.lit(i)).alias(fmt.format(i)) for i in range(width)]
 
 
 def product_with(matrix: np.ndarray):
@@ -71,10 +72,11 @@ def vector_sums(
     One ``sum`` per position keeps the buffer a flat row: map-side partial sums,
     one vector per key and task in the shuffle, and no (key, position) explosion.
     """
-    weight = F.lit(1.0) if weight is None else weight
-    sums = [
-        F.sum(F.get(F.col(vec), F.lit(i)) * weight).alias(f"__{i}") for i in range(width)
-    ]
-    grouped = df.groupBy(*keys).agg(*sums, *(others or []))
+    source, factor = df, ""
+    if weight is not None:
+        source, factor = df.withColumn("__weight", weight), " * __weight"
+    sums = [F.expr(f"sum(get(`{vec}`, {i}){factor}) AS __{i}") for i in range(width)]
+    grouped = source.groupBy(*keys).agg(*sums, *(others or []))
     kept = [c for c in grouped.columns if not c.startswith("__")]
-    return grouped.select(*kept, F.array(*[f"__{i}" for i in range(width)]).alias(vec))
+    positions = ", ".join(f"__{i}" for i in range(width))
+    return grouped.select(*kept, F.expr(f"array({positions})").alias(vec))

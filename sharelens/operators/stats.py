@@ -159,7 +159,7 @@ def cluster_means(members: DataFrame) -> DataFrame:
 
 
 def dimension_correlation(wide: DataFrame, a: str, b: str) -> DataFrame:
-    return wide.agg(F.corr(a, b).alias("pearson_r"))
+    return wide.agg(N.pearson(a, b).alias("pearson_r"))
 
 
 def _words(dim: Column, which: int) -> Column:

@@ -254,26 +254,25 @@ def series_stats(v: Views):
 
 
 def _explained(v: Views):
-    year = F.year("o_orderdate").alias("year")
     price = F.col("o_totalprice")
-    return v.orders.groupBy(year).agg(
-        F.avg(price).alias("actual"),
-        F.avg(F.when(F.col("o_orderstatus") == "F", price)).alias("static_new"),
-        F.avg(F.when(F.col("o_orderstatus") == "O", price)).alias("static_old"),
+    return v.orders.groupBy(F.year("o_orderdate").alias("year")).agg(
+        F.sum(price).alias("actual"),
+        F.sum(F.when(F.col("o_orderstatus") == "F", price)).alias("static_new"),
+        F.sum(F.when(F.col("o_orderstatus") == "O", price)).alias("static_old"),
     )
 
 
 _EXPLAINED = """
-    SELECT year(o_orderdate) AS year, round(avg(o_totalprice), 4) AS actual,
-           round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 4) AS static_new,
-           round(avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 4) AS static_old FROM orders GROUP BY 1"""
+    SELECT year(o_orderdate) AS year, round(sum(o_totalprice), 2) AS actual,
+           round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 2) AS static_new,
+           round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 2) AS static_old FROM orders GROUP BY 1"""
 
 
 @query("explained_by_year", _EXPLAINED)
 def explained_by_year(v: Views):
-    return rounded(ops.explained_polarization(_explained(v)), "actual", "static_new", "static_old", digits=4)
+    return rounded(ops.explained_polarization(_explained(v)), "actual", "static_new", "static_old", digits=2)
 
 
 @query("explained_one_year", f"SELECT * FROM ({_EXPLAINED}) WHERE year = 1999")
 def explained_one_year(v: Views):
-    return rounded(ops.explained_polarization(_explained(v), 1999), "actual", "static_new", "static_old", digits=4)
+    return rounded(ops.explained_polarization(_explained(v), 1999), "actual", "static_new", "static_old", digits=2)

@@ -11,9 +11,11 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sharelens.functions.numeric import pearson
 from sharelens.functions.text import HOST_PATTERN, TOKEN_PATTERN, extract_host, tokens
 from sharelens.operators import stats, vectors as vec_ops
 from sharelens.operators.dimensions import rebuild_dimensions
+from sharelens.session import collect_bounded
 from sharelens.sources.files import Tables
 
 PAIR_LIMIT = 2
@@ -50,6 +52,7 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.tables = Tables(spark, sf_dir)
+        self._dimensions: DataFrame | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -96,7 +99,12 @@ class Views:
         )
 
     def dimensions(self) -> DataFrame:
-        return rebuild_dimensions(self.stored(), self.vectors(), WIDTH)
+        """Four dimensions, kept as local rows because several steps score with them."""
+        if self._dimensions is None:
+            built = rebuild_dimensions(self.stored(), self.vectors(), WIDTH)
+            rows = collect_bounded(built, len(STORED), "dimensions")
+            self._dimensions = self.spark.createDataFrame(rows, built.schema)
+        return self._dimensions
 
     def scores(self, dim: str | None = None) -> DataFrame:
         dims = self.dimensions()
@@ -159,7 +167,7 @@ class Views:
         return rows.groupBy(
             F.date_format("o_orderdate", "yyyy-MM").alias("m1"), F.date_format("l_shipdate", "yyyy-MM").alias("m2")
         ).agg(
-            F.corr("l_quantity", "l_extendedprice").alias("pearson_r"),
+            pearson("l_quantity", "l_extendedprice").alias("pearson_r"),
             over(25).alias("proportion_over"),
             *[over(t).alias(f"{t / 10}") for t in (5, 15, 35)],
         )
@@ -272,7 +280,8 @@ def long_vector(df: DataFrame, *keys: str, vec: str = "vec") -> DataFrame:
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) + 0.0 for c in columns})
+    exprs = [f"round(`{c}`, {digits}) + 0.0D AS `{c}`" if c in columns else f"`{c}`" for c in df.columns]
+    return df.selectExpr(*exprs)
 
 
 def _dimension_rows() -> str:
