@@ -9,6 +9,7 @@ from sharelens.operators import clusters, links, pmi, report
 from sharelens.plans.registry import query
 from sharelens.plans.vector_queries import host_vectors_of
 from sharelens.plans.views import STOP_WORDS, WIDTH, Views, long_vector, rounded
+from sharelens.session import settle
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _URLS_SQL = f"{T.BARE_DOMAIN_PATTERN}|{T.HTTP_URL_PATTERN}"
@@ -16,7 +17,7 @@ COMMUNITY_FLOOR = 100
 
 
 def labelled_counts(v: Views):
-    counts = links.host_sub_counts(v.comments(), None)
+    counts = settle(links.host_sub_counts(v.comments(), None))
     return clusters.with_labels(counts, v.host_labels().select("host", "labels"))
 
 

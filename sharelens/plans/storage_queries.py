@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sharelens.operators import dimensions as dims
 from sharelens.operators import pmi
 from sharelens.plans.cluster_queries import _word_counts_sql
 from sharelens.plans.registry import query
-from sharelens.plans.views import STOP_WORDS, Views, long_vector, rounded
+from sharelens.plans.views import STOP_WORDS, Views, long_vector
 from sharelens.session import scratch_path
 from sharelens.sinks import writers
 from sharelens.sources import dumps, embeddings, files

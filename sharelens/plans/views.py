@@ -15,7 +15,7 @@ from sharelens.functions.numeric import pearson
 from sharelens.functions.text import HOST_PATTERN, TOKEN_PATTERN, extract_host, tokens
 from sharelens.operators import stats, vectors as vec_ops
 from sharelens.operators.dimensions import rebuild_dimensions
-from sharelens.session import collect_bounded
+from sharelens.session import collect_bounded, settle
 from sharelens.sources.files import Tables
 
 PAIR_LIMIT = 2
@@ -53,6 +53,7 @@ class Views:
         self.spark = spark
         self.tables = Tables(spark, sf_dir)
         self._dimensions: DataFrame | None = None
+        self._binned: DataFrame | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -128,12 +129,13 @@ class Views:
         return z.select(F.col("id").alias("subreddit"), below.alias("bin"))
 
     def binned_comments(self) -> DataFrame:
-        return (
-            self.comments()
-            .groupBy("author", "subreddit")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .join(self.echo_bins_of(), "subreddit")
-        )
+        """Posts per author and community bin; kept, since cells and sizes both read it."""
+        if self._binned is None:
+            posts = self.comments().groupBy("author", "subreddit").agg(F.count(F.lit(1)).alias("n"))
+            self._binned = settle(
+                posts.join(self.echo_bins_of(), "subreddit").groupBy("author", "bin").agg(F.sum("n").alias("n"))
+            )
+        return self._binned
 
     def author_shares(self) -> DataFrame:
         per = [F.sum(F.when(F.col("bin") == b, F.col("n")).otherwise(0)) / F.sum("n") for b in (-2, -1, 0, 1, 2)]

@@ -2,10 +2,9 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from sharelens.functions import vectors as V
-from sharelens.operators import clusters, dimensions, links, neighbours
+from sharelens.operators import clusters, dimensions, neighbours
 from sharelens.operators import vectors as ops
 
 
