@@ -1 +1,8 @@
-"""Community-embedding analytics on Spark: links, vectors, clusters, dimensions, activity."""
+"""Community-embedding analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel by value: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
