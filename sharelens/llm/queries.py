@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sharelens.llm import decontaminate, mixing, quality_rules, simhash, warc_zip
+from sharelens.llm import decontaminate, mixing, pii, quality_rules, simhash, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,3 +60,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_zip_archives", warc_zip.archive_sql())
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op7_pii")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(k).eqNullSafe)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    base = F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, pii.listed(F.col("spans")).alias("spans"))
