@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from sharelens.llm import mixing, quality_rules  # noqa: E402
+from sharelens.llm import decontaminate, mixing, pii, quality_rules, simhash  # noqa: E402
 from sharelens.session import scratch_path  # noqa: E402
 
 
@@ -18,12 +18,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated with ``benchmark``."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced by its kind; n_chars follows the text."""
+    return pii.redact(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of every document that is left."""
-    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken", "shards")
 
 
-STAGES = [("quality rules", quality), ("source mix", mix)]
+STAGES = [
+    ("quality rules", quality),
+    ("near duplicates", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("personal data", personal_data),
+    ("source mix", source_mix),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -333,7 +333,10 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets, same columns; overlapping spans become one."""
+    """``docs`` with every span replaced by its kind in brackets, same columns; overlapping spans become one.
+
+    ``n_chars``, if there is such a column, follows a changed text.
+    """
     spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "pii")
     names = [f"d{i}" for i in range(len(docs.columns))]
     whole = F.struct(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True))).alias("doc")
@@ -355,5 +358,7 @@ def redact(docs: DataFrame) -> DataFrame:
         ),
         lambda t: F.concat(t["out"], F.substring(source, t["at"] + 1, F.char_length(source))),
     )
-    clean = F.when(F.size("spans") > 0, built).otherwise(source)
-    return marked.select(*(clean.alias(c) if c == "text" else F.col(f"doc.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True)))
+    parts = {c: F.col(f"doc.{n}") for c, n in zip(docs.columns, names, strict=True)}
+    changed = {"text": built, "n_chars": F.char_length(built).cast("bigint")}
+    hit = F.size("spans") > 0
+    return marked.select(*(F.when(hit, changed[c]).otherwise(p).alias(c) if c in changed else p.alias(c) for c, p in parts.items()))
