@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: White space between words, as a character class for Java's and DuckDB's patterns.
@@ -51,3 +51,27 @@ def per_batch(
                 )
 
     return df.mapInArrow(run, schema)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, parts: int, held: int) -> DataFrame:
+    """Texts and labels to learn from: (text, label), at most ``per_class`` rows of each value 0 and 1.
+
+    Rows whose fold is ``held`` and rows without id or label take no part. Of repeated labels of one
+    document the largest counts. The rows are those with the smallest id hashes, so reruns agree; the
+    sample is bounded, hence its broadcast.
+    """
+    known = (
+        labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), parts) != held))
+        .groupBy(F.col("doc_id").alias("_id"))
+        .agg(F.max(label).alias("label"))
+    )
+    order = Window.partitionBy("label").orderBy(F.xxhash64("_id"), "_id")
+    chosen = known.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class).drop("_rank")
+    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(text_of().alias("text"), "label")
+
+
+def class_odds(labels: DataFrame, label: str, parts: int, held: int) -> float:
+    """Odds of label 1 among all rows one may learn from, smoothed."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), parts) != held))
+    ones, zeros = known.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
+    return (ones + 0.5) / (zeros + 0.5)
