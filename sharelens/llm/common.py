@@ -32,6 +32,18 @@ def small(settled: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(settled) if settled.count() <= rows else settled
 
 
+def packed(docs: DataFrame, *names: str | Column) -> DataFrame:
+    """``docs`` as one struct column ``doc`` next to the named columns, so that no other name can clash."""
+    fields = (F.col(f"`{c}`").alias(f"d{i}") for i, c in enumerate(docs.columns))
+    return docs.select(F.struct(*fields).alias("doc"), *names)
+
+
+def unpacked(df: DataFrame, columns: list[str], changed: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """The columns that ``packed`` put away, each passed through its function in ``changed`` if it has one."""
+    same = lambda x: x
+    return df.select(*((changed or {}).get(c, same)(F.col(f"doc.d{i}")).alias(c) for i, c in enumerate(columns)))
+
+
 def per_batch(
     df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict], piece_bytes: int = 8 << 20
 ) -> DataFrame:
@@ -61,13 +73,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     sample is bounded, hence its broadcast.
     """
     known = (
-        labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), parts) != held))
+        labels.select("doc_id", label)
+        .where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), parts) != held))
         .groupBy(F.col("doc_id").alias("_id"))
         .agg(F.max(label).alias("label"))
     )
     order = Window.partitionBy("label").orderBy(F.xxhash64("_id"), "_id")
     chosen = known.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class).drop("_rank")
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(text_of().alias("text"), "label")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(text_of().alias("text"), "label")
 
 
 def class_odds(labels: DataFrame, label: str, parts: int, held: int) -> float:

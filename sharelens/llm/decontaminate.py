@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sharelens.llm.common import per_batch, small, text_of
+from sharelens.llm.common import packed, per_batch, small, text_of, unpacked
 from sharelens.session import settle
 
 WINDOW = 13
@@ -167,8 +167,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
     """
     found = contamination(docs, benchmark, block_bytes).where("contaminated")
     bad = small(settle(found.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()), 1_000_000)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_mark"))
-    return docs.join(bad, same, "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
+    return unpacked(packed(docs, "doc_id", F.xxhash64("text").alias("mark")).join(bad, same, "left_anti"), docs.columns)
 
 
 def digest_of(names: Column) -> Column:

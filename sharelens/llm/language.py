@@ -126,7 +126,8 @@ def train(docs: DataFrame, per_language: int = 400, landmarks: int = 32, languag
     Texts with the smallest id hashes are taken, with text and lang given, outside the held-out fold;
     of each language the first ``landmarks`` become landmarks. Only lists of n-gram codes reach the driver.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~fold(F.col("doc_id"), FOLDS).isin(HELD, -1))
+    known = docs.select("doc_id", F.col("lang").cast("string"), "text")
+    known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~fold(F.col("doc_id"), FOLDS).isin(HELD, -1))
     names = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select(F.col("lang").alias("of"))
     ranked = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("mark"))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "mark")))

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sharelens.llm.common import fold, text_of
+from sharelens.llm.common import fold, packed, text_of, unpacked
 from sharelens.session import collect_bounded, scratch_path, settle
 
 KINDS = ("email", "ip", "card", "phone")
@@ -338,15 +338,11 @@ def redact(docs: DataFrame) -> DataFrame:
     ``n_chars``, if there is such a column, follows a changed text.
     """
     spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "pii")
-    names = [f"d{i}" for i in range(len(docs.columns))]
-    whole = F.struct(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True))).alias("doc")
-    detect(docs.select(whole, "doc_id", "text")).drop("text", "doc_id").write.parquet(path)
+    detect(packed(docs, "doc_id", "text")).write.parquet(path)
     stored = spark.read.parquet(path)
-    text = names[docs.columns.index("text")]
-    detected = stored.withColumn("doc_id", F.col(f"doc.{names[docs.columns.index('doc_id')]}"))
-    marked = add_spans(detected, learn(detected))
+    marked = add_spans(stored, learn(stored))
     labels = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    source = F.col(f"doc.{text}")
+    source = F.col("text")
     built = F.aggregate(
         "spans",
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
@@ -358,7 +354,9 @@ def redact(docs: DataFrame) -> DataFrame:
         ),
         lambda t: F.concat(t["out"], F.substring(source, t["at"] + 1, F.char_length(source))),
     )
-    parts = {c: F.col(f"doc.{n}") for c, n in zip(docs.columns, names, strict=True)}
-    changed = {"text": built, "n_chars": F.char_length(built).cast("bigint")}
     hit = F.size("spans") > 0
-    return marked.select(*(F.when(hit, changed[c]).otherwise(p).alias(c) if c in changed else p.alias(c) for c, p in parts.items()))
+    changed = {
+        "text": lambda old: F.when(hit, built).otherwise(old),
+        "n_chars": lambda old: F.when(hit, F.char_length(built).cast("bigint")).otherwise(old),
+    }
+    return unpacked(marked, docs.columns, changed)

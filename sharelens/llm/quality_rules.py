@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sharelens.llm.common import SPACE, text_of, words_of
+from sharelens.llm.common import SPACE, packed, text_of, unpacked, words_of
 from sharelens.session import scratch_path, settle
 
 #: Frequent function words of each language with a reference.
@@ -171,12 +171,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """``docs`` without those that the rules reject, same columns; measured texts pass through a table in the shared folder."""
     spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "quality-rules")
-    named = [f"d{i}" for i in range(len(docs.columns))]
-    measured = measure(docs.select(F.struct(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, named, strict=True))).alias("doc"), "text", F.col("lang").cast("string")))
+    measured = measure(packed(docs, "text", F.col("lang").cast("string").alias("lang")))
     measured.withColumn("n_chars", F.char_length(text_of())).drop("text").write.parquet(path)
     stored = spark.read.parquet(path)
-    good = judge(stored, settle(references(stored))).where("kept")
-    return good.select(*(F.col(f"doc.{n}").alias(c) for c, n in zip(docs.columns, named, strict=True)))
+    return unpacked(judge(stored, settle(references(stored))).where("kept"), docs.columns)
 
 
 def rules_sql() -> str:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sharelens.llm.common import per_batch
+from sharelens.llm.common import packed, per_batch, unpacked
 from sharelens.session import settle
 
 BITS, SEED, RADIUS, SHINGLE = 64, 42, 3, 3
@@ -34,7 +34,7 @@ def bit_planes(values: np.ndarray) -> np.ndarray:
     """uint64 values -> 64 rows, row k holding bit k of all values, packed 64 to a word."""
     bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     packed = np.packbits(bits.T, axis=1, bitorder="little")
-    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view("<u8")
+    return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))).view("<u8")
 
 
 def within(planes: Iterator[np.ndarray], radius: int = RADIUS) -> np.ndarray | None:
@@ -276,7 +276,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     no id at all, one per text.
     """
     found = components(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    chosen = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    turn = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
-    return chosen.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    each = packed(docs, "doc_id", F.xxhash64("text").alias("mark"))
+    chosen = each.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy(F.lit(0)))
+    return unpacked(chosen.withColumn("turn", turn).where("turn = 1"), docs.columns)
