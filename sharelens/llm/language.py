@@ -81,7 +81,7 @@ class Model:
         mapped = self.kernel(examples).astype(np.float64) @ project
         goal = (labels[:, None] == np.arange(len(languages))).astype(np.float64)
         solved = np.linalg.solve(mapped.T @ mapped + ridge * np.eye(mapped.shape[1]), mapped.T @ goal)
-        self.weights = (project @ solved).astype(np.float32)
+        self.weights = project @ solved
 
     def __getstate__(self):
         return self.__dict__ | {"_grams": None, "_column": None}
@@ -111,12 +111,12 @@ class Model:
             return names, scores
         if self._grams is None:
             self._grams = Grams()
-        raw = self.kernel([self._grams.of(texts[i]) for i in judged]) @ self.weights
-        raw = np.maximum(raw, 0)
+        raw = self.kernel([self._grams.of(texts[i]) for i in judged]).astype(np.float64) @ self.weights
+        raw = np.maximum(raw, 0).round(9)
         best = raw.argmax(axis=1)
         share = raw.max(axis=1) / np.maximum(raw.sum(axis=1), 1e-9)
         for k, i in enumerate(judged):
-            names[i], scores[i] = self.languages[best[k]], min(1.0, float(share[k]))
+            names[i], scores[i] = self.languages[best[k]], min(1.0, round(float(share[k]), 6))
         return names, scores
 
 

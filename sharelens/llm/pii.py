@@ -340,9 +340,9 @@ def redact(docs: DataFrame) -> DataFrame:
     spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "pii")
     detect(packed(docs, "doc_id", "text")).write.parquet(path)
     stored = spark.read.parquet(path)
-    marked = add_spans(stored, learn(stored))
+    marked = add_spans(stored, learn(stored)).withColumnRenamed("text", "whole")
     labels = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    source = F.col("text")
+    source = F.col("whole")
     built = F.aggregate(
         "spans",
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),

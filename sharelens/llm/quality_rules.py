@@ -21,7 +21,8 @@ COMMON_WORDS = {
     "es": ("el", "los", "que", "y", "del", "las", "por", "con", "una", "su", "para", "se"),
     "fr": ("le", "les", "et", "des", "du", "une", "dans", "pour", "qui", "sur", "est", "avec"),
 }
-#: Character classes counted by what a pattern leaves over (upper and lower case letters, digits, symbols, punctuation).
+#: Character classes counted by what a pattern leaves over (lower and upper case
+#: letters, digits, symbols, punctuation); white space and all other characters are two more.
 CLASSES = (r"[^\p{Ll}]+", r"[^\p{Lu}]+", r"[^0-9]+", r"[^#*$%&|<>]+", r"[^!\x22'()+,./:;=?@\x5B-\x60\x7B}~-]+")
 #: Thresholds on the distances and the lengths from which a histogram is trusted. A histogram of n characters strays
 #: from its reference by chance, so the class threshold is raised by ALLOWANCE / sqrt(n).
@@ -65,7 +66,8 @@ def measure(docs: DataFrame, width: int = 5) -> DataFrame:
         lambda w: F.substring(F.lit(LETTERS), F.array_position(index, F.lower(w)).cast("int"), F.lit(1)),
     )
     known = F.array(*(F.char_length("_common") - F.char_length(F.replace("_common", F.lit(c))) for c in LETTERS))
-    classes = F.array(*(_left_over(text, p) for p in CLASSES), F.char_length(text) - F.col("word_chars"))
+    known_classes = F.array(*(_left_over(text, p) for p in CLASSES), (F.char_length(text) - F.col("word_chars")).cast("int"))
+    others = F.char_length(text) - F.aggregate("_classes", F.lit(0), lambda total, n: total + n)
     return (
         docs.withColumn("_words", words_of(text))
         .withColumn("n_words", F.size("_words").cast("long"))
@@ -78,16 +80,17 @@ def measure(docs: DataFrame, width: int = 5) -> DataFrame:
         .withColumn("_places", F.sort_array(F.transform(twins, lambda x: x["i"])))
         .withColumn("n_repeat_words", F.coalesce(_repeated(F.col("_places"), width), F.lit(0)).cast("long"))
         .withColumn("_common", F.array_join(common, ""))
-        .withColumn("class_counts", classes)
+        .withColumn("_classes", known_classes)
+        .withColumn("class_counts", F.concat("_classes", F.array(others)))
         .withColumn("word_counts", F.concat(known, F.array(F.col("n_words").cast("int") - F.char_length("_common"))))
         .withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20))
-        .drop("_words", "_hashes", "_twins", "_sorted", "_places", "_common")
+        .drop("_words", "_hashes", "_twins", "_sorted", "_places", "_common", "_classes")
     )
 
 
 def pooled(measured: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     """One row per language: shares of character classes and common words over its documents that pass the base rules."""
-    n_classes, n_words = len(CLASSES) + 1, len(VOCABULARY) + 1
+    n_classes, n_words = len(CLASSES) + 2, len(VOCABULARY) + 1
     sums = [F.sum(F.get("class_counts", F.lit(i))).cast("double").alias(f"c{i}") for i in range(n_classes)]
     sums += [F.sum(F.get("word_counts", F.lit(i))).cast("double").alias(f"w{i}") for i in range(n_words)]
     classes = F.array(*(f"c{i}" for i in range(n_classes)))
@@ -202,16 +205,17 @@ counted AS (
     CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
     CAST({left_over(CLASSES[3])} AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
-    [{classes}, length(text) - length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g'))] AS classes,
+    [{classes}, length(text) - length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g'))] AS some_classes,
+    list_append(some_classes, n_chars - list_sum(some_classes)) AS classes,
     list_transform({vocabulary}, lambda v: len(list_filter(words, lambda w: lower(w) = v))) AS hits
   FROM worded LEFT JOIN repeats r USING (doc_id)),
 measured AS (SELECT * EXCLUDE (hits), list_append(hits, n_words - list_sum(hits)) AS hits,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted),
-pool AS (SELECT lang AS of, {sums("classes", len(CLASSES) + 1)} AS c FROM measured WHERE lang IN ({langs}) AND NOT base_failed GROUP BY lang),
+pool AS (SELECT lang AS of, {sums("classes", len(CLASSES) + 2)} AS c FROM measured WHERE lang IN ({langs}) AND NOT base_failed GROUP BY lang),
 pool_shares AS (SELECT of, {shares_of("c")} AS rc FROM pool),
 rated AS (SELECT m.*, {own("dc", "rc")} AS far FROM (SELECT *, {shares_of("classes")} AS dc FROM measured WHERE NOT base_failed) m JOIN pool_shares ON lang = of),
 usual AS (SELECT lang AS of, avg(far) AS usual FROM rated GROUP BY lang),
-refs AS (SELECT lang, {sums("classes", len(CLASSES) + 1)} AS c, {sums("hits", len(VOCABULARY) + 1)} AS w
+refs AS (SELECT lang, {sums("classes", len(CLASSES) + 2)} AS c, {sums("hits", len(VOCABULARY) + 1)} AS w
   FROM rated JOIN usual ON lang = of WHERE far <= usual GROUP BY lang),
 shares_ref AS (SELECT {shares_of("c")} AS rc, {shares_of("w")} AS rw FROM refs),
 shares_doc AS (SELECT *, {shares_of("classes")} AS dc, {shares_of("hits")} AS dw FROM measured),
