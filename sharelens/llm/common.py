@@ -65,26 +65,30 @@ def per_batch(
     return df.mapInArrow(run, schema)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, parts: int, held: int) -> DataFrame:
-    """Texts and labels to learn from: (text, label), at most ``per_class`` rows of each value 0 and 1.
+def learnable(labels: DataFrame, label: str, parts: int, held: int) -> DataFrame:
+    """Labels one may learn from, one row per document (``_id``, ``label``); of repeated labels the largest counts.
 
-    Rows whose fold is ``held`` and rows without id or label take no part. Of repeated labels of one
-    document the largest counts. The rows are those with the smallest id hashes, so reruns agree; the
-    sample is bounded, hence its broadcast.
+    Rows whose fold is ``held`` and rows without id or label take no part.
     """
-    known = (
-        labels.select("doc_id", label)
-        .where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), parts) != held))
-        .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.max(label).alias("label"))
-    )
-    order = Window.partitionBy("label").orderBy(F.xxhash64("_id"), "_id")
-    chosen = known.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class).drop("_rank")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(text_of().alias("text"), "label")
+    known = labels.select("doc_id", label).where(F.col(label).isin(0, 1) & ~fold(F.col("doc_id"), parts).isin(held, -1))
+    return known.groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).alias("label"))
+
+
+def class_counts(known: DataFrame) -> tuple[int, int]:
+    """How many documents have label 0 and label 1."""
+    return tuple(known.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first())
 
 
-def class_odds(labels: DataFrame, label: str, parts: int, held: int) -> float:
-    """Odds of label 1 among all rows one may learn from, smoothed."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), parts) != held))
-    ones, zeros = known.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
-    return (ones + 0.5) / (zeros + 0.5)
+def labelled_sample(docs: DataFrame, known: DataFrame, counts: tuple[int, int], per_class: int) -> DataFrame:
+    """Texts and labels to learn from: (text, label), at most ``per_class`` documents of each label.
+
+    Documents with the smallest id hashes are taken, so reruns agree. A threshold on the hash, a little
+    above what the counts ask for, comes first: the ranking sees about as many rows as it keeps, however
+    many labels there are. The sample is bounded, hence its broadcast.
+    """
+    place = F.shiftrightunsigned(F.xxhash64("_id"), 11) / F.lit(float(1 << 53))
+    near = [min(1.0, (1.2 * per_class + 50) / max(1, n)) for n in counts]
+    few = known.withColumn("_place", place).where(F.col("_place") <= F.when(F.col("label") == 1, near[1]).otherwise(near[0]))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("_place", "_id"))
+    chosen = few.withColumn("_rank", rank).where(F.col("_rank") <= per_class).select("_id", "label")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(text_of().alias("text"), "label")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sharelens.llm.common import class_odds, fold, labelled_sample, per_batch
+from sharelens.llm.common import class_counts, fold, labelled_sample, learnable, per_batch
 
 FOLDS, HELD = 5, 0
 EMBED, EXTRA, WIDTH, STRIDE, FILTERS = 6, 1, 8, 2, 24
@@ -142,8 +142,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 600, most_bytes:
     Of the texts of the sample, those longer than ``most_bytes`` teach nothing, so the sample is bounded
     in bytes too; scoring reads every text whole. The odds of all labels correct the balanced sample.
     """
-    odds = class_odds(labels, "quality", FOLDS, HELD)
-    sample = labelled_sample(docs, labels, "quality", per_class, FOLDS, HELD).where(F.octet_length("text") <= most_bytes)
+    known = learnable(labels, "quality", FOLDS, HELD)
+    counts = class_counts(known)
+    odds = (counts[1] + 0.5) / (counts[0] + 0.5)
+    sample = labelled_sample(docs, known, counts, per_class).where(F.octet_length("text") <= most_bytes)
     rows = sorted((r["text"], int(r["label"])) for r in sample.collect())
     ones = sum(label for _, label in rows)
     if not 0 < ones < len(rows):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sharelens.llm.common import class_odds, fold, labelled_sample, per_batch
+from sharelens.llm.common import class_counts, fold, labelled_sample, learnable, per_batch
 
 SLOTS = 1 << 20
 FOLDS, HELD = 5, 0
@@ -132,8 +132,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4_000, epochs: in
     A slot that only one text fills can teach nothing and takes no part.
     Without a label of either kind the model scores every text with the smoothed share of label 1.
     """
-    odds = class_odds(labels, "toxic", FOLDS, HELD)
-    examples = collect_examples(labelled_sample(docs, labels, "toxic", per_class, FOLDS, HELD))
+    known = learnable(labels, "toxic", FOLDS, HELD)
+    counts = class_counts(known)
+    odds = (counts[1] + 0.5) / (counts[0] + 0.5)
+    examples = collect_examples(labelled_sample(docs, known, counts, per_class))
     ones = sum(label for _, label in examples)
     if not 0 < ones < len(examples):
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(odds)))
