@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sharelens.functions import numeric as N
-from sharelens.session import bounded_map, collect_bounded, settle
+from sharelens.session import collect_bounded, hint_small, settle, settle_small
 
 BINS = [-2, -1, 0, 1, 2]
 MAX_MONTHS = 5_000
@@ -24,7 +24,8 @@ def for_list(df: DataFrame, key: str, values: list) -> DataFrame:
     spark = df.sparkSession
     kind = dict(df.dtypes)[key]
     wanted = spark.createDataFrame(list(enumerate(values)), f"__ord long, {key} {kind}")
-    return F.broadcast(wanted).join(df, key, "left").orderBy("__ord").drop("__ord")
+    kept = df.join(F.broadcast(wanted.select(key)), key, "left_semi")
+    return wanted.join(settle_small(kept), key, "left").orderBy("__ord").drop("__ord")
 
 
 def merge_user_bins(activity: DataFrame) -> DataFrame:
@@ -68,10 +69,8 @@ def activity_shares(activity: DataFrame, scores: DataFrame, bins: int = 30, frac
         .groupBy("partisan", "month", F.col("last_month_user_bin").alias("user_bin"))
         .agg(F.sum("num_comments").alias("num_comments"))
     )
-    totals = bounded_map(
-        binned.groupBy("month").agg(F.sum("num_comments").alias("total")), "month", F.col("total"), MAX_MONTHS
-    )
-    shares = binned.withColumn("share", F.col("num_comments") / totals[F.col("month")])
+    totals = settle_small(binned.groupBy("month").agg(F.sum("num_comments").alias("total")))
+    shares = binned.join(totals, "month").withColumn("share", F.col("num_comments") / F.col("total"))
     overall = shares.groupBy("month", "partisan").agg(F.sum("share").alias("share"))
     columns = ["month", "user_bin", "partisan", "share"]
     return shares.select(columns).unionByName(
@@ -110,7 +109,8 @@ def echo_cells(cells: DataFrame, bin_sizes: DataFrame, dimen: str) -> DataFrame:
     grid = cells.sparkSession.createDataFrame([(a, b) for a in BINS for b in BINS], "bin1 int, bin2 int")
     values = cells.where(F.col("dimen") == dimen).select("bin1", "bin2", F.col("bin1_avg_frac_bin2").alias("value"))
     shares = bin_shares(bin_sizes, dimen).select(F.col("bin").alias("bin2"), "pct")
-    filled = F.broadcast(grid).join(values, ["bin1", "bin2"], "left").join(F.broadcast(shares), "bin2", "left")
+    # 25 cells and 5 shares: small by construction once counted
+    filled = grid.join(settle_small(values), ["bin1", "bin2"], "left").join(settle_small(shares), "bin2", "left")
     value = F.coalesce("value", F.lit(0.0))
     return filled.select("bin1", "bin2", value.alias("value"), "pct", (value - F.col("pct")).alias("deviation"))
 
@@ -125,20 +125,27 @@ def max_deviation(cells: DataFrame) -> DataFrame:
     return cells.agg(F.max("deviation").alias("max_deviation"))
 
 
-def echo_communities(community_cells: DataFrame, dimen: str, communities: int = 25) -> DataFrame:
-    """Largest communities by bin shares, ordered by their average bin."""
-    largest = (
-        community_cells.where(F.col("dimen") == dimen)
-        .orderBy(F.desc("total_comments"), "subreddit", "bin2")
-        .limit(len(BINS) * communities)
-    )
+def echo_communities(community_cells: DataFrame, dimen: str, communities: int = 25, compat: bool = False) -> DataFrame:
+    """Largest communities by bin shares, ordered by their average bin.
+
+    Communities are ranked by their total and kept whole; a bin that a community lacks stays empty and
+    counts 0 in the average. ``compat`` cuts after five rows per community, as published, which tears
+    communities that have fewer bins.
+    """
+    cells = community_cells.where(F.col("dimen") == dimen)
+    if compat:
+        largest = cells.orderBy(F.desc("total_comments"), "subreddit", "bin2").limit(len(BINS) * communities)
+    else:
+        cells = settle(cells)
+        totals = cells.groupBy("subreddit").agg(F.max("total_comments").alias("total"))
+        largest = cells.join(totals.orderBy(F.desc("total"), "subreddit").limit(communities), "subreddit", "left_semi")
     wide = largest.groupBy("subreddit").pivot("bin2", BINS).agg(F.max("subreddit_avg_frac_bin2"))
-    average = sum(F.col(f"`{b}`") * b for b in BINS)
+    average = sum(F.coalesce(F.col(f"`{b}`"), F.lit(0.0)) * b for b in BINS)
     return wide.withColumn("avg_bin", average).orderBy(F.asc_nulls_last("avg_bin"), "subreddit")
 
 
-def months_of(df: DataFrame, column: str) -> list[str]:
-    rows = collect_bounded(df.select(column).distinct(), MAX_MONTHS, "months")
+def months_of(df: DataFrame, column: str, limit: int = MAX_MONTHS) -> list[str]:
+    rows = collect_bounded(df.select(column).distinct(), limit, "months")
     return sorted(r[0] for r in rows if r[0] is not None)
 
 
@@ -150,15 +157,15 @@ def matrix(df: DataFrame, row: str, column: str, value: str, columns: list | Non
 
 
 def lagged_pairs(pairs: DataFrame, lag: int = 12) -> DataFrame:
-    """Month pairs whose positions among the distinct months differ by ``lag``."""
-    months = pairs.select(F.col("m1").alias("m")).distinct()
-    ordered = months.agg(
-        F.when(F.count(F.lit(1)) <= MAX_MONTHS, F.array_sort(F.collect_list("m"))).otherwise(
-            F.raise_error(F.lit("too many months"))
-        )
-    ).scalar()
-    first, second = F.array_position(ordered, F.col("m1")), F.array_position(ordered, F.col("m2"))
-    return pairs.where((first > 0) & (second - first == lag))
+    """Month pairs whose positions among the distinct months differ by ``lag``; settles the pairs, read twice."""
+    pairs = settle(pairs)
+    months = pairs.select(F.col("m1").alias("m")).where("m is not null").distinct()
+    # one row per month of the calendar
+    placed = settle(months.withColumn("place", F.row_number().over(Window.orderBy("m"))))
+    first = placed.select(F.col("m").alias("m1"), F.col("place").alias("__p1"))
+    second = placed.select(F.col("m").alias("m2"), F.col("place").alias("__p2"))
+    both = pairs.join(hint_small(first), "m1").join(hint_small(second), "m2")
+    return both.where(F.col("__p2") - F.col("__p1") == lag).drop("__p1", "__p2")
 
 
 def lag_statistics(pairs: DataFrame, lag: int = 12, before: str = "2016", value: str = "proportion_over") -> DataFrame:

@@ -60,13 +60,14 @@ def seed_similarity(pairs: DataFrame, vectors: DataFrame, seeds: Seeds) -> DataF
     )
 
 
-def _pick_disjoint(edges: DataFrame, seeds: Seeds, size: int, compat: bool, prefix: int):
+def _pick_disjoint(edges: DataFrame, seeds: Seeds, size: int, compat: bool, prefix: int, group: int = 50):
     """Best edges per dimension, each community at most once.
 
-    Every round takes the best ``prefix`` edges that touch no banned community,
-    picks greedily among them, and bans what was picked. A round picks at least
-    one edge per open dimension, and a skipped edge touches a banned community,
-    so the result is that of one walk over all edges.
+    Every round takes the best edges that touch no banned community, for up to ``group`` dimensions at a time and
+    at most ``prefix`` edges or 50 for each direction still to be picked, picks greedily among them, and
+    bans what was picked. A round picks at least one edge per dimension that has any, and a skipped edge
+    touches a banned community, so the result is that of one walk over all edges. What reaches the driver
+    at once is bounded by ``group * prefix`` rows, whatever the number of dimensions.
     """
     picks = {name: [] for name in seeds}
     banned = {name: {c for pair in pairs for c in pair} for name, pairs in seeds.items()}
@@ -78,25 +79,26 @@ def _pick_disjoint(edges: DataFrame, seeds: Seeds, size: int, compat: bool, pref
     open_dims = {n for n, pairs in seeds.items() if len(pairs) < size}
     ranked = Window.partitionBy("dim").orderBy(F.desc("similarity"), "c1", "c2")
     while open_dims:
+        now = sorted(open_dims)[:group]
+        wanted = max(size - len(seeds[name]) - len(picks[name]) for name in now)
+        most = min(prefix, 50 * wanted)
         free = F.lit(False)
-        for name in sorted(open_dims):
+        for name in now:
             names = sorted(banned[name])
             free = free | (
                 (F.col("dim") == name) & ~F.col("c1").isin(names) & ~F.col("c2").isin(names)
             )
-        best = edges.where(free).withColumn("r", F.row_number().over(ranked)).where(f"r <= {prefix}")
-        rows = collect_bounded(best.orderBy("dim", "r"), prefix * len(open_dims), "edges")
-        seen = {name: 0 for name in open_dims}
+        best = edges.where(free).withColumn("r", F.row_number().over(ranked)).where(f"r <= {most}")
+        rows = collect_bounded(best.orderBy("dim", "r"), most * len(now), "edges")
+        seen = {name: 0 for name in now}
         for row in rows:
             name, ends = row["dim"], (row["c1"], row["c2"])
             seen[name] += 1
             if len(seeds[name]) + len(picks[name]) < size and banned[name].isdisjoint(ends):
                 picks[name].append(ends)
                 banned[name].update(ends)
-        open_dims = {
-            n for n in open_dims
-            if len(seeds[n]) + len(picks[n]) < size and seen[n] == prefix
-        }
+        done = {n for n in now if len(seeds[n]) + len(picks[n]) >= size or seen[n] < most}
+        open_dims -= done
     return picks
 
 
@@ -151,20 +153,22 @@ def rename_stored(stored: DataFrame) -> DataFrame:
     )
 
 
-def rebuild_dimensions(stored: DataFrame, vectors: DataFrame, width: int | None = None) -> DataFrame:
+def rebuild_dimensions(stored: DataFrame, vectors: DataFrame, width: int | None = None, strict: bool = False) -> DataFrame:
     """Stored dimensions in another embedding: ``name, vec`` (unit).
 
-    Mean of right minus left vectors, or of right plus left for ``*_neutral``.
-    Only the direction matters, so signed sums replace the pairwise mean.
+    Mean of right minus left vectors over the pairs, or of right plus left for ``*_neutral``; only the
+    direction matters, so sums replace the mean. A pair with an end that has no vector, or no
+    partner because the lists differ in length, is left out as a whole; ``strict`` refuses it.
     """
-    stored = rename_stored(stored)
-    left_sign = F.when(F.col("name").endswith("_neutral"), 1.0).otherwise(-1.0)
-    members = stored.select("name", F.explode("right_comms").alias("id"), F.lit(1.0).alias("sign"))
-    members = members.unionByName(
-        stored.select("name", F.explode("left_comms").alias("id"), left_sign.alias("sign"))
-    )
-    joined = vectors.join(hint_small(members), "id")
+    pairs = rename_stored(stored).select("name", F.explode(F.arrays_zip("left_comms", "right_comms")).alias("pair"))
+    pairs = settle(pairs.select("name", F.col("pair.left_comms").alias("l"), F.col("pair.right_comms").alias("r")))
+    known = vectors.where(F.col("vec").isNotNull()).select("id", "vec")
+    left = known.select(F.col("id").alias("l"), F.col("vec").alias("__l"))
+    right = known.select(F.col("id").alias("r"), F.col("vec").alias("__r"))
+    joined = settle(left.join(hint_small(pairs), "l").join(right, "r"))
+    if strict and joined.count() < pairs.count():
+        raise KeyError("a dimension has a pair without a vector")
+    sign = F.when(F.col("name").endswith("_neutral"), 1.0).otherwise(-1.0)
+    edges = joined.select("name", F.zip_with("__r", F.transform("__l", lambda x: x * sign), lambda a, b: a + b).alias("vec"))
     width = width or vector_width(vectors)
-    return vector_sums(joined, ["name"], width, weight=F.col("sign")).select(
-        "name", unit("vec").alias("vec")
-    )
+    return vector_sums(edges, ["name"], width, weight=F.lit(1.0)).select("name", unit("vec").alias("vec"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sharelens.functions import text as T
 from sharelens.operators.positions import with_position
-from sharelens.session import bounded_map, hint_small
+from sharelens.session import settle, settle_small
 
 GLOSSARY_DIMENSIONS = ["age", "gender", "partisan"]
 
@@ -44,9 +44,11 @@ def glossary_lines(names: DataFrame, bins: DataFrame, width: int = 130) -> DataF
     truncated z column per glossary dimension. Lines alternate their separator
     by position within the letter.
     """
-    scored = names.join(bins.select("id", *GLOSSARY_DIMENSIONS), "id", "left")
-    scored = scored.withColumn("sort_key", F.lower("id"))
-    placed = with_position(scored, ["sort_key", "id"], ["first_letter"])
+    # ids alone are ranked; the texts are cut to their first line before they meet the positions
+    keys = names.select("id", "first_letter", F.lower("id").alias("sort_key"))
+    placed = with_position(keys, ["sort_key", "id"], ["first_letter"])
+    short = names.select("id", short_description(F.coalesce("description", F.lit("")), width).alias("short"))
+    placed = placed.join(short, "id").join(bins.select("id", *GLOSSARY_DIMENSIONS), "id", "left")
     tags = [
         F.concat(F.lit("{gstd_"), T.score_tag(d, F.coalesce(F.col(d), F.lit(0))), F.lit("}"))
         for d in GLOSSARY_DIMENSIONS
@@ -56,7 +58,7 @@ def glossary_lines(names: DataFrame, bins: DataFrame, width: int = 130) -> DataF
     line = F.concat(
         F.lit(r"\glossarytitle{"), title, F.lit("}"), *tags,
         F.lit(r" \newline \glossarydesc{"),
-        short_description(F.coalesce("description", F.lit("")), width),
+        F.col("short"),
         F.lit("}"), ending,
     )
     return placed.select("first_letter", "position", "id", line.alias("line"))
@@ -69,15 +71,14 @@ def glossary_sections(lines: DataFrame) -> DataFrame:
     lines the last one gets a closing break. Rows stay rows, so no letter has
     to fit into one task. Sort by letter and position to write the file.
     """
-    totals = bounded_map(
-        lines.groupBy("first_letter").agg(F.count(F.lit(1)).alias("n")), "first_letter", F.col("n")
-    )
-    n = totals[F.col("first_letter")]
+    lines = settle(lines)
+    totals = settle_small(lines.groupBy("first_letter").agg(F.count(F.lit(1)).alias("__n")))
+    n = F.col("__n")
     closing = F.when((F.col("position") == n - 1) & (n % 2 == 0), F.lit("\\\\")).otherwise(F.lit(""))
-    body = lines.select(
+    body = lines.join(totals, "first_letter").select(
         "first_letter", "position", F.concat("line", closing).alias("line")
     )
-    heads = lines.select("first_letter").distinct().select(
+    heads = totals.select(
         "first_letter",
         F.lit(-1).cast("bigint").alias("position"),
         F.concat(F.lit(r"\glossaryheader{"), "first_letter", F.lit("} &")).alias("line"),
@@ -104,4 +105,4 @@ def drop_missing(descriptions: DataFrame) -> DataFrame:
 
 
 def keep_words(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    return words.join(hint_small(vocabulary.select("word")), "word", "left_semi")
+    return words.join(settle_small(vocabulary.select("word")), "word", "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sharelens.functions.text import SITE_HOSTS, extract_host, extract_url, has_link
-from sharelens.session import hint_small, is_small, settle
+from sharelens.session import settle, settle_small
 
 MAX_BROADCAST_PAIRS = 1_000_000
 
@@ -44,7 +44,7 @@ def drop_heavy_pairs(df: DataFrame, heavy: DataFrame) -> DataFrame:
     broadcast and the rows do not move; otherwise Spark joins by shuffle and
     splits a hot pair on the row side.
     """
-    return _without(df, hint_small(settle(heavy), MAX_BROADCAST_PAIRS))
+    return _without(df, settle_small(heavy, MAX_BROADCAST_PAIRS))
 
 
 def _without(df: DataFrame, heavy: DataFrame) -> DataFrame:
@@ -70,8 +70,8 @@ def drop_site_hosts(df: DataFrame) -> DataFrame:
 
 
 def keep_hosts(df: DataFrame, hosts: DataFrame, max_broadcast: int = 100_000) -> DataFrame:
-    """Rows whose host is listed. A short list is broadcast after it was counted."""
-    return df.join(hint_small(hosts.select("host"), max_broadcast), "host", "left_semi")
+    """Rows whose host is listed. A short list is broadcast after it was settled and counted."""
+    return df.join(settle_small(hosts.select("host"), max_broadcast), "host", "left_semi")
 
 
 def select_link_posts(
@@ -81,51 +81,36 @@ def select_link_posts(
     pair_limit: int = 20,
     host_floor: int = 200,
 ) -> DataFrame:
-    """Posts that survive the pair limit, the allow-list, the site filter and the host floor."""
-    # the site filter drops NULL hosts anyway; without them one table can carry
-    # both results of the pair counts, which then come from one scan and shuffle
-    comments = comments.where(F.col("host").isNotNull())
-    pairs = pair_counts(comments)
-    heavy = pairs.where(F.col("count") >= pair_limit).select(
-        "author", "host", F.lit(None).cast("bigint").alias("total")
-    )
-    shared = (
-        pairs.where(F.col("count") < pair_limit)
-        .groupBy("host")
-        .agg(F.sum("count").alias("total"))
-        .where(F.col("total") > host_floor)
-        .select(F.lit(None).cast("string").alias("author"), "host", "total")
-    )
-    found = settle(heavy.unionByName(shared))
+    """Posts that survive the pair limit, the allow-list, the site filter and the host floor.
+
+    Site filter and allow-list depend on the host alone, so they come before the pair counts: the hottest
+    hosts are never counted or shuffled. Reads ``comments`` twice, once for the counts.
+    """
     posts = drop_site_hosts(comments)
     if allowed is not None:
         posts = keep_hosts(posts, allowed)
-    posts = keep_hosts(posts, found.where("total is not null"))
-    posts = _without(posts, hint_small(found.where("total is null"), MAX_BROADCAST_PAIRS))
+    pairs = settle(pair_counts(posts))
+    light = pairs.where(F.col("count") < pair_limit).groupBy("host").agg(F.sum("count").alias("total"))
+    enough = light.where(F.col("total") > host_floor).select("host")
+    heavy = pairs.where(F.col("count") >= pair_limit).drop("count")
+    posts = _without(keep_hosts(posts, enough), settle_small(heavy, MAX_BROADCAST_PAIRS))
     if host_meta is not None:
         posts = posts.join(host_meta, "host")
     return posts
 
 
 def host_sub_counts(comments: DataFrame, pair_limit: int | None = 20) -> DataFrame:
-    """``host, subreddit, count`` over posts of light pairs.
+    """``host, subreddit, count`` over posts of light pairs; one pass over ``comments``.
 
-    With a broadcast list of heavy pairs the rows are filtered where they are
-    read and counted by (host, subreddit) before any shuffle. With too many
-    heavy pairs they are first counted by (author, host, subreddit), so that
-    counts and not raw rows meet the pairs.
+    Rows are counted by (author, host, subreddit) where they are read. From that settled table come
+    the pair totals and, without the heavy pairs, the counts. Filter hosts before, not after.
     """
-    posts = comments
-    if pair_limit is not None:
-        heavy = settle(heavy_pairs(comments, pair_limit))
-        if is_small(heavy, MAX_BROADCAST_PAIRS):
-            posts = _without(posts, F.broadcast(heavy))
-        else:
-            posts = _without(
-                posts.groupBy("author", "host", "subreddit").agg(F.count(F.lit(1)).alias("n")), heavy
-            )
-            return posts.groupBy("host", "subreddit").agg(F.sum("n").alias("count"))
-    return posts.groupBy("host", "subreddit").agg(F.count(F.lit(1)).alias("count"))
+    if pair_limit is None:
+        return comments.groupBy("host", "subreddit").agg(F.count(F.lit(1)).alias("count"))
+    counted = settle(comments.groupBy("author", "host", "subreddit").agg(F.count(F.lit(1)).alias("n")))
+    heavy = counted.groupBy("author", "host").agg(F.sum("n").alias("n")).where(F.col("n") >= pair_limit).drop("n")
+    light = _without(counted, settle_small(heavy, MAX_BROADCAST_PAIRS))
+    return light.groupBy("host", "subreddit").agg(F.sum("n").alias("count"))
 
 
 def host_post_totals(counts: DataFrame) -> DataFrame:
@@ -140,7 +125,4 @@ def top_hosts(counts: DataFrame, limit: int = 10_000) -> DataFrame:
 
 def counts_of_top_hosts(counts: DataFrame, limit: int = 10_000) -> DataFrame:
     """Counts of the most posted hosts; reads ``counts`` twice, so pass a stored table."""
-    hosts = top_hosts(counts, limit).select("host")
-    if limit <= 100_000:
-        hosts = F.broadcast(hosts)
-    return counts.join(hosts, "host", "left_semi")
+    return keep_hosts(counts, top_hosts(counts, limit))

@@ -51,10 +51,15 @@ def nearest_neighbours(
     one task that serves both of its blocks, so n^2/2 products run as dense
     matrix strips, and a task hands on only its k best per id. Memory per task
     depends on the block size, not on n; larger blocks mean fewer copies of the
-    vectors and fewer candidates in the final ranking.
+    vectors and fewer candidates in the final ranking. Exactness costs n^2/2
+    products, and each vector is copied once per block; small tables still get
+    enough blocks to keep all cores busy.
     """
     count = vectors.count() if count is None else count
-    blocks = max(1, math.ceil(count / block_rows))
+    parallel = vectors.sparkSession.sparkContext.defaultParallelism
+    # enough pairs of blocks for all cores, but no block so small that its task is all overhead
+    spread = min(math.ceil(math.sqrt(2 * parallel)), math.ceil(count / 256))
+    blocks = max(1, spread, math.ceil(count / block_rows))
     tagged = (
         vectors.where(F.col("vec").isNotNull())
         .select("id", unit("vec").alias("vec"))

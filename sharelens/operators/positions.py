@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sharelens.session import hint_small, settle
+from sharelens.session import settle, settle_small
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
 
@@ -49,24 +49,35 @@ def with_position(
     same = F.col("__part") == F.col("__p")
     for c in group_by:
         same = same & F.col(c).eqNullSafe(F.col(f"__g_{c}"))
-    placed = numbered.join(hint_small(offsets), same)
+    placed = numbered.join(settle_small(offsets), same)
     return placed.select(*df.columns, (F.col("__row") + F.col("__shift")).alias(name))
 
 
-def slice_positions(df: DataFrame, start: int, end: int, name: str = "position") -> DataFrame:
-    """Rows whose explicit position lies in [start, end)."""
-    return df.where((F.col(name) >= start) & (F.col(name) < end))
+def slice_positions(df: DataFrame, start: int, end: int | None = None, name: str = "position") -> DataFrame:
+    """Rows whose explicit position lies in [start, end); without an end all from ``start`` on."""
+    rows = df.where(F.col(name) >= start)
+    return rows if end is None else rows.where(F.col(name) < end)
 
 
 def exact_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
-    """One row ``(quantile)``: linear interpolation between the two nearest ranks."""
+    """One row ``(quantile)``: linear interpolation between the two nearest ranks.
+
+    Equal values are counted first, map-side, so a value that a third of the rows share is one row from then on.
+    Distinct values are range-partitioned; ranks add up counts inside a range and over the ranges before it.
+    """
     values = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
-    placed = with_position(values, ["x"])
-    n = placed.agg(F.count(F.lit(1))).scalar()
-    placed = placed.withColumn("__h", (n - 1) * F.lit(float(q)))
-    low, high = F.floor("__h"), F.ceil("__h")
-    return placed.where((F.col("position") == low) | (F.col("position") == high)).agg(
-        (
-            F.min("x") + (F.max("x") - F.min("x")) * (F.max("__h") - F.floor(F.max("__h")))
-        ).alias("quantile")
+    counted = settle(
+        values.groupBy("x").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("x").withColumn("part", F.spark_partition_id())
+    )
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counted.groupBy(F.col("part").alias("p")).agg(F.sum("n").alias("n"))
+    offsets = parts.select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    inside = Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counted.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(settle_small(offsets), F.col("part") == F.col("p"))
+    total = counted.agg(F.sum("n")).scalar()
+    ranked = ranked.withColumn("first", F.col("first") + F.col("shift")).withColumn("h", (total - 1) * F.lit(float(q)))
+    holds = lambda rank: (F.col("first") <= rank) & (rank < F.col("first") + F.col("n"))
+    low, high = F.floor("h"), F.ceil("h")
+    return ranked.where(holds(low) | holds(high)).agg(
+        (F.min("x") + (F.max("x") - F.min("x")) * (F.max("h") - F.floor(F.max("h")))).alias("quantile")
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sharelens.session import settle_small
+
 SECTIONS = {
     "pmi": "Top PMI with post threshold:",
     "posts": "Top Subreddits with PMI threshold:",
@@ -50,12 +52,13 @@ def cluster_report(clusters: DataFrame, sections: list[DataFrame], n: int = 10)
 
 
 def _number(value: Column) -> Column:
-    return F.coalesce(value.cast("string"), F.lit("N/A"))
+    """A count as it is, anything else with six digits; missing values as ``N/A``."""
+    return F.when(value.isNull(), "N/A").otherwise(F.format_string("%.6f", value))
 
 
 def report_text(report: DataFrame, sizes: DataFrame) -> DataFrame:
     """``cluster, text``: one block per cluster; ``sizes`` has ``cluster, cluster_name, size``."""
-    count = lambda c: _number(F.col(c).cast("bigint"))
+    count = lambda c: F.coalesce(F.col(c).cast("bigint").cast("string"), F.lit("N/A"))
     rank = F.concat(F.col("rank").cast("string"), F.lit(" - "))
     line = (
         F.when(F.col("section") == "pmi", F.concat(rank, F.lit("Subreddit: "), "item", F.lit(", PMI: "), _number(F.col("v1")), F.lit(", Subreddit count: "), count("v2")))
@@ -74,7 +77,7 @@ def report_text(report: DataFrame, sizes: DataFrame) -> DataFrame:
     head = F.format_string(
         "----------Cluster: %d (Desc: %s), Size: %d----------\n", "cluster", F.coalesce("cluster_name", F.lit("N/A")), "size"
     )
-    return blocks.join(F.broadcast(sizes), "cluster").select(
+    return blocks.join(settle_small(sizes), "cluster").select(
         "cluster",
         F.concat(head, F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n")).alias("text"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sharelens.functions import numeric as N
 from sharelens.functions.text import redact
 from sharelens.operators.positions import exact_quantile, with_position
-from sharelens.session import bounded_map, hint_small
+from sharelens.session import settle, settle_small
 
 # Words for the low and the high end of a dimension.
 LESS_MORE = {
@@ -36,9 +36,15 @@ def moments(scores: DataFrame) -> DataFrame:
 
 
 def _with_moments(scores: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """Rows with their dimension's moments as struct ``m``, without a shuffle."""
-    table = bounded_map(moments(scores if of is None else of), "dim", F.struct("n", "mean", "sd", "low", "high"))
-    return scores.withColumn("m", table[F.col("dim")])
+    """Rows with their dimension's moments as struct ``m``.
+
+    The moments of all dimensions are joined, by broadcast if they are few. Without ``of`` the scores are
+    settled first, because moments and rows both read them; pass ``of=scores`` if they are stored already.
+    """
+    if of is None:
+        scores = of = settle(scores)
+    table = moments(of).select(F.col("dim").alias("__dim"), F.struct("n", "mean", "sd", "low", "high").alias("m"))
+    return scores.join(settle_small(table), F.col("dim").eqNullSafe(F.col("__dim")), "left").drop("__dim")
 
 
 def _z(value: Column = None) -> Column:
@@ -62,8 +68,10 @@ def z_bins(scores: DataFrame, bound: int = 3) -> DataFrame:
 def percentiles(scores: DataFrame) -> DataFrame:
     """Ordinal percentile ``100 * rank0 / n`` per dimension, ties by id."""
     placed = with_position(scores, ["score", "id"], ["dim"], "rank0")
-    n = bounded_map(placed.groupBy("dim").agg(F.count(F.lit(1)).alias("n")), "dim", F.col("n"))
-    return placed.withColumn("pctl", F.lit(100.0) * F.col("rank0") / n[F.col("dim")])
+    placed = settle(placed)
+    sizes = settle_small(placed.groupBy(F.col("dim").alias("__dim")).agg(F.count(F.lit(1)).alias("__n")))
+    joined = placed.join(sizes, F.col("dim").eqNullSafe(F.col("__dim")))
+    return joined.withColumn("pctl", F.lit(100.0) * F.col("rank0") / F.col("__n")).drop("__dim", "__n")
 
 
 def histogram(scores: DataFrame, bins: int = 100) -> DataFrame:
@@ -178,7 +186,7 @@ def skews(
     One grouping serves all clusters and dimensions: mean z, and the share of
     members beyond the percentile threshold on the side of the mean.
     """
-    ranked = percentiles(scores)  # checkpointed, so the moments come from it too
+    ranked = settle(percentiles(scores))
     per = _with_moments(clustered(ranked, clustering), ranked).groupBy(F.col("cluster_name").alias("cluster"), F.col("dim").alias("axis")).agg(
         F.avg(_z()).alias("mean_z"),
         (F.avg((F.col("pctl") < threshold).cast("double")) * 100.0).alias("below"),
@@ -215,6 +223,14 @@ def bimodality(percentile_members: DataFrame, window: int = 20) -> DataFrame:
     )
 
 
+def neutral_cutoff(wide: DataFrame, dimension: str, cutoffs: dict[str, float] | None = None) -> float | None:
+    """The published cutoff of a dimension's neutral score, else its 90th percentile."""
+    cutoffs = NEUTRAL_CUTOFFS if cutoffs is None else cutoffs
+    if dimension in cutoffs:
+        return cutoffs[dimension]
+    return exact_quantile(wide, dimension + "_neutral", 0.9).first()["quantile"]
+
+
 def politics_subset(
     wide: DataFrame,
     dimension: str,
@@ -222,15 +238,16 @@ def politics_subset(
     absolute: bool = False,
     cutoffs: dict[str, float] | None = None,
     view: str | None = None,
+    cutoff: Column | float | None = None,
 ) -> DataFrame:
     """``id, partisan_dimen``: z of a dimension for politically active items.
 
     Items need a neutral score above the cutoff (the 90th percentile when none
-    is published); categories cut the z at -1 and 1.
+    is published); categories cut the z at -1 and 1. Callers that want several categories compute
+    :func:`neutral_cutoff` once and pass it.
     """
     if category not in ("left", "right", "all", "center", "all_unfiltered"):
         raise ValueError(category)
-    cutoffs = NEUTRAL_CUTOFFS if cutoffs is None else cutoffs
     neutral = dimension + "_neutral"
     stats = wide.agg(
         F.struct(F.avg(dimension).alias("mean"), F.stddev_pop(dimension).alias("sd"))
@@ -238,11 +255,7 @@ def politics_subset(
     z = F.try_divide(F.col(dimension) - stats["mean"], stats["sd"])
     kept = wide
     if category != "all_unfiltered":
-        if dimension in cutoffs:
-            cutoff = F.lit(cutoffs[dimension])
-        else:
-            cutoff = exact_quantile(wide, neutral, 0.9).scalar()
-        kept = kept.where(F.col(neutral) > cutoff)
+        kept = kept.where(F.col(neutral) > (neutral_cutoff(wide, dimension, cutoffs) if cutoff is None else cutoff))
     out = kept.select("id", z.alias("partisan_dimen"))
     if category == "left":
         out = out.where("partisan_dimen <= -1")
@@ -282,8 +295,8 @@ def exemplars(scores: DataFrame, count: int = 20) -> DataFrame:
 
 
 def top_bottom(scores: DataFrame, n: int = 50) -> DataFrame:
-    """The n lowest and n highest items per dimension: ``dim, side, rank, id, score``."""
-    parts = []
+    """The n lowest and n highest items per dimension: ``dim, side, rank, id, score``; settles the scores, both sides read them."""
+    scores, parts = settle(scores), []
     for side, order in (("lowest", F.asc("score")), ("highest", F.desc("score"))):
         window = Window.partitionBy("dim").orderBy(order, "id")
         parts.append(
@@ -307,8 +320,9 @@ def extremes_table(
     ``age``, and the z of words uses the scores of that dimension.
     """
     word_dim = dimension if dimension in words.columns else "age"
+    scores = settle(scores)
     if ban_words is not None:
-        words = words.join(hint_small(ban_words.select("word")), "word", "left_anti")
+        words = words.join(settle_small(ban_words.select("word")), "word", "left_anti")
     long_words = words.select(F.col("word").alias("id"), F.lit(word_dim).alias("dim"), F.col(word_dim).alias("score"))
     communities = top_bottom(scores.where(F.col("dim") == dimension), n)
     found = top_bottom(long_words, n)
@@ -323,7 +337,7 @@ def extremes_table(
 
 def marked_items(scores: DataFrame, names: DataFrame) -> DataFrame:
     """z scores of named items, in order."""
-    z = z_scores(scores).join(hint_small(names.select("id")), "id", "left_semi")
+    z = z_scores(scores).join(settle_small(names.select("id")), "id", "left_semi")
     return z.orderBy("dim", "z", "id")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sharelens.functions.numeric import percent_difference
-from sharelens.session import hint_small
+from sharelens.session import settle_small
 
 # Community to occupation labels.
 OCCUPATIONS = {
@@ -56,7 +56,7 @@ def metro_name(title: Column) -> Column:
 
 def map_places(df: DataFrame, places: DataFrame, label: str = "label") -> DataFrame:
     """Community of each place name; unmapped places get an empty name."""
-    mapping = hint_small(places.select(F.col("place").alias(label), "community"))
+    mapping = settle_small(places.select(F.col("place").alias(label), "community"))
     return df.join(mapping, label, "left").withColumn("community", F.coalesce("community", F.lit("")))
 
 
@@ -91,7 +91,7 @@ def metro_counties(counties: DataFrame, places: DataFrame) -> DataFrame:
         fips(F.col("FIPS State Code"), F.col("FIPS County Code")).alias("FIPS"),
         F.col("`County/County Equivalent`").alias("county_name"),
     )
-    return metro.join(hint_small(places.select(F.col("place").alias("metro"))), "metro", "left_semi")
+    return metro.join(settle_small(places.select(F.col("place").alias("metro"))), "metro", "left_semi")
 
 
 def county_results(election: DataFrame) -> DataFrame:

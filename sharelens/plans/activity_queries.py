@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sharelens.operators import activity as ops
 from sharelens.plans.registry import query
 from sharelens.plans.views import Views, rounded
+from sharelens.session import settle
 from sharelens.sources.dumps import _months
 
 AFTER, BEFORE, EARLY = "1996", "2001", "1999"
@@ -46,7 +47,7 @@ _EVEN = "list_transform(range(31), lambda i: CASE WHEN i = 30 THEN high ELSE low
 
 @query("activity_share", _shares("bins", _EVEN) + " UNION ALL " + _shares("fractions", "[mean - 2 * sd, mean + 2 * sd]"))
 def activity_share(v: Views):
-    activity, scores = v.activity(), v.scores("partisan")
+    activity, scores = settle(v.activity()), settle(v.scores("partisan"))  # both modes read them
     bins = ops.activity_shares(activity, scores).withColumn("mode", F.lit("bins"))
     fractions = ops.activity_shares(activity, scores, fractions=True).withColumn("mode", F.lit("fractions"))
     return rounded(bins.unionByName(fractions), "share")
@@ -130,9 +131,9 @@ def echo_max_deviation(v: Views):
     "SELECT subreddit, "
     + ", ".join(f'round(max(CASE WHEN bin2 = {b} THEN frac END), 6) AS "{b}"' for b in ops.BINS)
     + ", round("
-    + " + ".join(f"({b}) * max(CASE WHEN bin2 = {b} THEN frac END)" for b in ops.BINS)
-    + """, 6) + 0.0 AS avg_bin FROM (SELECT * FROM echo_community_v ORDER BY total_comments DESC, subreddit, bin2 LIMIT 125)
-    GROUP BY subreddit""",
+    + " + ".join(f"({b}) * coalesce(max(CASE WHEN bin2 = {b} THEN frac END), 0)" for b in ops.BINS)
+    + """, 6) + 0.0 AS avg_bin FROM echo_community_v WHERE subreddit IN (SELECT subreddit FROM echo_community_v
+    GROUP BY subreddit ORDER BY max(total_comments) DESC, subreddit LIMIT 25) GROUP BY subreddit""",
 )
 def echo_community(v: Views):
     found = ops.echo_communities(v.echo_community(), "partisan")

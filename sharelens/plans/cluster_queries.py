@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sharelens.functions import text as T
-from sharelens.operators import clusters, links, pmi, report
+from sharelens.operators import clusters, pmi, report
 from sharelens.plans.registry import query
 from sharelens.plans.vector_queries import host_vectors_of
 from sharelens.plans.views import STOP_WORDS, WIDTH, Views, long_vector, rounded
-from sharelens.session import settle
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _URLS_SQL = f"{T.BARE_DOMAIN_PATTERN}|{T.HTTP_URL_PATTERN}"
@@ -17,8 +16,7 @@ COMMUNITY_FLOOR = 100
 
 
 def labelled_counts(v: Views):
-    counts = settle(links.host_sub_counts(v.comments(), None))
-    return clusters.with_labels(counts, v.host_labels().select("host", "labels"))
+    return clusters.with_labels(v.host_counts(), v.host_labels().select("host", "labels"))
 
 
 _LABELLED = """(SELECT c.host, c.subreddit, c.count, l.labels FROM host_sub_counts_v c
@@ -218,22 +216,49 @@ def closest_in_cluster(v: Views):
     return rounded(clusters.closest_to_centroid(v.vectors(), centres, cosine=False, all_vecs=False), "value")
 
 
+def _odd_vectors(v: Views):
+    """Every seventh vector has no direction, every fifth no label."""
+    zero = F.transform("vec", lambda x: x * 0)
+    key = F.regexp_replace("id", "[^0-9]", "").cast("int")
+    return v.vectors().select(
+        "id", F.when(key % 7 == 0, zero).otherwise(F.col("vec")).alias("vec"), F.when(key % 5 == 0, None).otherwise(F.col("label")).alias("label")
+    )
+
+
+_ODD = """
+    (SELECT id, CASE WHEN k % 7 = 0 THEN list_transform(vec, lambda x: x * 0) ELSE vec END AS vec, CASE WHEN k % 5 <> 0 THEN label END AS label
+     FROM (SELECT *, CAST(regexp_replace(id, '[^0-9]', '', 'g') AS INTEGER) AS k FROM vectors_v))"""
+
+
+@query(
+    "closest_with_gaps",
+    f"""
+    SELECT centre, id, label, rank, round(value, 6) + 0.0 AS value FROM (
+        SELECT *, row_number() OVER (PARTITION BY centre ORDER BY value DESC, id) AS rank FROM (
+            SELECT c.label AS centre, v.id, v.label, round(list_cosine_similarity(v.vec, c.vec), 12) AS value
+            FROM {_ODD} v JOIN {_CENTROIDS} c ON true WHERE list_inner_product(v.vec, v.vec) > 0)) WHERE rank <= 10""",
+)
+def closest_with_gaps(v: Views):
+    centres = clusters.centroids(v.vectors(), width=WIDTH)
+    return rounded(clusters.closest_to_centroid(_odd_vectors(v), centres), "value")
+
+
 @query("cluster_hosts")
 def cluster_hosts(v: Views):
-    hosts = host_vectors_of(v).withColumnRenamed("host", "id")
+    hosts = host_vectors_of(v, None).withColumnRenamed("host", "id")
     return clusters.cluster_vectors(hosts, clusters=20, micro=100)
 
 
 @query("cluster_hosts_kmeans")
 def cluster_hosts_kmeans(v: Views):
-    hosts = host_vectors_of(v).withColumnRenamed("host", "id")
+    hosts = host_vectors_of(v, None).withColumnRenamed("host", "id")
     return clusters.cluster_vectors(hosts, clusters=20, method="kmeans")
 
 
 def report_of(v: Views):
     counts = labelled_counts(v)
     pairs = pmi.pmi(counts, "labels", "subreddit").withColumn("pmi", F.round("pmi", 9))
-    hosts = host_vectors_of(v).join(v.host_labels(), "host").select(F.col("host").alias("id"), "vec", F.col("labels").alias("label"))
+    hosts = host_vectors_of(v, None).join(v.host_labels(), "host").select(F.col("host").alias("id"), "vec", F.col("labels").alias("label"))
     closest = clusters.closest_to_centroid(hosts, clusters.centroids(hosts, width=WIDTH))
     words = report_words(v)
     sections = [
@@ -252,12 +277,10 @@ _HOST_CENTROIDS = """
     (SELECT labels, list(m ORDER BY pos) AS vec FROM (
         SELECT labels, pos, avg(v) AS m FROM (
             SELECT l.labels, unnest(h.vec) AS v, unnest(range(64)) AS pos
-            FROM host_vectors_v h JOIN host_labels_v l ON l.host = h.host) GROUP BY 1, 2) GROUP BY labels)"""
+            FROM all_host_vectors_v h JOIN host_labels_v l ON l.host = h.host) GROUP BY 1, 2) GROUP BY labels)"""
 
 
-@query(
-    "cluster_report",
-    f"""
+_REPORT = f"""
     SELECT g.cluster, g.section, g.rank, coalesce(r.item, 'N/A') AS item, round(r.v1, 6) + 0.0 AS v1, round(r.v2, 6) + 0.0 AS v2
     FROM (SELECT cluster, unnest(['pmi', 'posts', 'hosts', 'closest', 'word_pmi', 'word_count']) AS section, rank
           FROM (SELECT DISTINCT labels AS cluster FROM host_labels_v), (SELECT unnest(range(1, 11)) AS rank)) g
@@ -274,22 +297,45 @@ _HOST_CENTROIDS = """
         UNION ALL
         SELECT 'closest', c.labels, h.host, l.labels, round(list_cosine_similarity(h.vec, c.vec), 12),
                row_number() OVER (PARTITION BY c.labels ORDER BY round(list_cosine_similarity(h.vec, c.vec), 12) DESC, h.host)
-        FROM host_vectors_v h JOIN host_labels_v l ON l.host = h.host CROSS JOIN {_HOST_CENTROIDS} c
+        FROM all_host_vectors_v h JOIN host_labels_v l ON l.host = h.host CROSS JOIN {_HOST_CENTROIDS} c
         UNION ALL
         SELECT 'word_pmi', cluster, word, round(pmi, 9), n_wc,
                row_number() OVER (PARTITION BY cluster ORDER BY round(pmi, 9) DESC, word) FROM {_REPORT_WORDS} WHERE n_wc > 10
         UNION ALL
         SELECT 'word_count', cluster, word, n_wc, round(pmi, 9),
                row_number() OVER (PARTITION BY cluster ORDER BY n_wc DESC, word) FROM {_REPORT_WORDS} WHERE round(pmi, 9) > 0.1
-    ) r ON r.cluster = g.cluster AND r.section = g.section AND r.rank = g.rank""",
-)
+    ) r ON r.cluster = g.cluster AND r.section = g.section AND r.rank = g.rank"""
+
+
+@query("cluster_report", _REPORT)
 def cluster_report(v: Views):
     return rounded(report_of(v), "v1", "v2")
 
 
-@query("cluster_report_text")
+def _line_sql(section: str, first: str, second: str | None, whole_first: bool, label: str = "Subreddit") -> str:
+    number = lambda c, whole: f"CASE WHEN {c} IS NULL THEN 'N/A' WHEN {str(whole).lower()} THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) ELSE printf('%.6f', {c}) END"
+    text = f"rank || ' - {label}: ' || item || ', {first}: ' || {number('v1', whole_first)}"
+    if second:
+        text += f" || ', {second}: ' || {number('v2', not whole_first)}"
+    return f"WHEN section = '{section}' THEN {text}"
+
+
+_TITLES = "CASE section " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in report.SECTIONS.items()) + " END"
+_PLACES = "list_position([" + ", ".join(f"'{k}'" for k in report.SECTIONS) + "], section)"
+_TEXT = f"""
+    SELECT cluster, '----------Cluster: ' || cluster || ' (Desc: ' || cluster_name || '), Size: ' || size || '----------' || chr(10)
+           || string_agg(CASE WHEN rank = 1 THEN {_TITLES} || chr(10) ELSE '' END || line, chr(10) ORDER BY {_PLACES}, rank) || chr(10) AS text
+    FROM (SELECT *, CASE {_line_sql("pmi", "PMI", "Subreddit count", False)} {_line_sql("posts", "Subreddit count", "PMI", True)}
+          {_line_sql("hosts", "Post Count", None, True, "Host")} {_line_sql("closest", "Label", "Distance", True, "Host")}
+          {_line_sql("word_pmi", "PMI to cluster", "Count in cluster", False, "Word")} {_line_sql("word_count", "Count in cluster", "PMI in cluster", True, "Word")}
+          END AS line FROM ({_REPORT}))
+    JOIN (SELECT labels AS cluster, min(cluster_name) AS cluster_name, count(*) AS size FROM host_labels_v GROUP BY 1) USING (cluster)
+    GROUP BY cluster, cluster_name, size"""
+
+
+@query("cluster_report_text", _TEXT)
 def cluster_report_text(v: Views):
     sizes = v.host_labels().groupBy(F.col("labels").alias("cluster")).agg(
         F.min("cluster_name").alias("cluster_name"), F.count(F.lit(1)).alias("size")
     )
-    return report.report_text(report_of(v), sizes)
+    return report.report_text(rounded(report_of(v), "v1", "v2"), sizes)

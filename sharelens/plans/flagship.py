@@ -14,7 +14,7 @@ from sharelens.session import settle
 
 def host_leaning(v: Views) -> DataFrame:
     """Hosts at both ends of the partisan dimension, from raw comments."""
-    counts = settle(links.drop_site_hosts(links.host_sub_counts(v.comments(), PAIR_LIMIT)))
+    counts = settle(links.host_sub_counts(links.drop_site_hosts(v.comments()), PAIR_LIMIT))
     top = links.counts_of_top_hosts(counts, 10_000)
     hosts = ops.host_vectors(top, v.vectors().select("id", "vec"), WIDTH).withColumnRenamed("host", "id")
     # both ends of the ranking read the scores

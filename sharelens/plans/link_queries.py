@@ -8,7 +8,6 @@ from sharelens.functions import text as T
 from sharelens.operators import links
 from sharelens.plans.registry import query
 from sharelens.plans.views import HOST_FLOOR, PAIR_LIMIT, TOP_HOSTS, Views
-from sharelens.session import settle
 
 POST_COLUMNS = ["author", "subreddit", "host", "url", "id", "score"]
 
@@ -57,7 +56,7 @@ def host_sub_counts(v: Views):
     SELECT c.host, c.subreddit, c.count FROM host_sub_counts_v c JOIN top_hosts_v t ON t.host = c.host""",
 )
 def top_host_counts(v: Views):
-    return links.counts_of_top_hosts(settle(links.host_sub_counts(v.comments(), None)), TOP_HOSTS).select(
+    return links.counts_of_top_hosts(v.host_counts(), TOP_HOSTS).select(
         "host", "subreddit", "count"
     )
 

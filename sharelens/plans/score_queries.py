@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sharelens.operators import stats
 from sharelens.operators.positions import exact_quantile
 from sharelens.plans.registry import query
+from sharelens.session import settle
 from sharelens.plans.views import Views, rounded
 
 
@@ -176,10 +177,10 @@ _ACTIVE = """
        OR (category = 'center' AND z > -1 AND z < 1)""",
 )
 def politics_subset(v: Views):
-    wide = v.scores_wide()
-    out = None
+    wide, out = settle(v.scores_wide()), None
+    cutoff = stats.neutral_cutoff(wide, "partisan", {})
     for category in ("all", "left", "right", "center"):
-        part = stats.politics_subset(wide, "partisan", category, cutoffs={}).withColumn("category", F.lit(category))
+        part = stats.politics_subset(wide, "partisan", category, cutoff=cutoff).withColumn("category", F.lit(category))
         out = part if out is None else out.unionByName(part)
     return rounded(out.select("category", "id", "partisan_dimen"), "partisan_dimen")
 
@@ -193,7 +194,7 @@ def politics_subset(v: Views):
     WHERE p.dim = 'partisan' AND n.score > 0.1""",
 )
 def abs_z_subset(v: Views):
-    wide = v.scores_wide()
+    wide = settle(v.scores_wide())
     whole = stats.politics_subset(wide, "partisan", "all_unfiltered", absolute=True, view="scores")
     published = stats.politics_subset(wide, "partisan", "all", absolute=True, cutoffs={"partisan": 0.1})
     rows = whole.withColumn("category", F.lit("all_unfiltered")).unionByName(

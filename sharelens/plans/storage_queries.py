@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sharelens.operators import pmi
+from sharelens.operators import glossary, pmi
 from sharelens.plans.cluster_queries import _word_counts_sql
 from sharelens.plans.registry import query
+from sharelens.plans.text_queries import _DECODED
 from sharelens.plans.views import STOP_WORDS, Views, long_vector
 from sharelens.session import scratch_path
 from sharelens.sinks import writers
@@ -26,6 +27,12 @@ def _comment_dump(v: Views):
         text.alias("body"),
         F.when(F.col("doc_id") % 2 == 0, F.lit(False)).alias("edited"),
         F.unix_timestamp("o_orderdate").cast("string").alias("created_utc"),
+        F.concat(F.lit("css"), F.col("doc_id") % 3).alias("author_flair_css_class"),
+        F.when(F.col("doc_id") % 3 == 0, "flair").alias("author_flair_text"),
+        F.concat(F.lit("t3_"), F.col("doc_id").cast("string")).alias("link_id"),
+        F.lit("0").alias("gilded"),
+        (F.col("doc_id") % 2).cast("int").alias("controversiality"),
+        F.when(F.col("doc_id") % 5 == 0, "moderator").alias("distinguished"),
     )
 
 
@@ -35,6 +42,12 @@ def _submission_dump(v: Views):
         F.lit("pages").alias("subreddit"), F.lit(False).alias("over_18"), F.lit(True).alias("is_self"),
         F.col("page_id").cast("int").alias("score"), F.concat(F.lit("&lt;"), "url").alias("selftext"),
         F.lit("1546300800").alias("created_utc"),
+        F.concat(F.lit("a"), F.col("page_id") % 4).alias("author_flair_css_class"),
+        F.when(F.col("page_id") % 6 == 0, "admin").alias("distinguished"),
+        F.lit("example.org").alias("domain"),
+        F.when(F.col("page_id") % 2 == 0, 1546300900).alias("edited"),
+        F.lit("1").alias("gilded"),
+        F.concat(F.lit("title "), F.col("page_id")).alias("title"),
     )
 
 
@@ -48,7 +61,9 @@ _JOINED = """
     f"""
     SELECT 't1_' || doc_id AS id, 't3_' || doc_id AS parent_id, CAST(n_chars AS INTEGER) AS score, CAST(o_custkey AS VARCHAR) AS author,
            source AS subreddit, md5('> q &lt; ' || replace(replace(replace(replace(text, '&gt;', '>'), '&lt;', '<'), '&amp;', '&'),
-           chr(13) || chr(10), chr(10)) || chr(10) || 'end <b>') AS body, CAST(NULL AS INTEGER) AS edited, CAST(t AS INTEGER) AS created_utc
+           chr(13) || chr(10), chr(10)) || chr(10) || 'end <b>') AS body, CAST(NULL AS INTEGER) AS edited, CAST(t AS INTEGER) AS created_utc,
+           'css' || doc_id % 3 AS author_flair_css_class, CASE WHEN doc_id % 3 = 0 THEN 'flair' END AS author_flair_text,
+           't3_' || doc_id AS link_id, '0' AS gilded, CAST(doc_id % 2 AS INTEGER) AS controversiality, CASE WHEN doc_id % 5 = 0 THEN 'moderator' END AS distinguished
     FROM ({_JOINED}) JOIN customer ON c_custkey = o_custkey WHERE c_acctbal >= 0 AND c_mktsegment <> 'HOUSEHOLD'""",
 )
 def dump_import(v: Views):
@@ -56,9 +71,7 @@ def dump_import(v: Views):
     _comment_dump(v).write.json(path)
     raw = dumps.read_dump(v.spark, path, "comments")
     found = dumps.import_comments(raw, v.users())
-    return found.select(
-        "id", "parent_id", "score", "author", "subreddit", F.md5("body").alias("body"), "edited", "created_utc"
-    )
+    return found.withColumn("body", F.md5("body"))
 
 
 @query(
@@ -66,15 +79,15 @@ def dump_import(v: Views):
     """
     SELECT 't3_' || page_id AS id, CAST(NULL AS VARCHAR) AS parent_id, 'bot' AS author, url, 'pages' AS subreddit, false AS over_18,
            true AS is_self, CAST(page_id AS INTEGER) AS score,
-           '<' || replace(replace(replace(url, '&gt;', '>'), '&lt;', '<'), '&amp;', '&') AS selftext, 1546300800 AS created_utc FROM pages""",
+           '<' || replace(replace(replace(url, '&gt;', '>'), '&lt;', '<'), '&amp;', '&') AS selftext, 1546300800 AS created_utc,
+           'a' || page_id % 4 AS author_flair_css_class, CAST(NULL AS VARCHAR) AS author_flair_text, CASE WHEN page_id % 6 = 0 THEN 'admin' END AS distinguished,
+           'example.org' AS domain, CASE WHEN page_id % 2 = 0 THEN 1546300900 END AS edited, '1' AS gilded, 'title ' || page_id AS title FROM pages""",
 )
 def dump_submissions(v: Views):
     path = scratch_path(v.spark, "submissions")
     _submission_dump(v).write.json(path)
     found = dumps.project_submissions(dumps.read_dump(v.spark, path, "submissions"))
-    return found.select(
-        "id", "parent_id", "author", "url", "subreddit", "over_18", "is_self", "score", "selftext", "created_utc"
-    )
+    return found
 
 
 @query(
@@ -167,6 +180,92 @@ def adhoc_query(v: Views):
     return files.query_data(v.lineitem, "l_quantity > 40 AND l_returnflag = 'R'", select="l_orderkey, l_quantity * 2 AS doubled")
 
 
-@query("adhoc_sample")
+@query(
+    "adhoc_sample",
+    f"""
+    SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
+    WHERE CAST(('0x' || left(md5(l_orderkey || '-' || l_linenumber), 8)) AS BIGINT) < {int(0.05 * 2**32)} AND l_quantity > 10
+    ORDER BY l_orderkey, l_linenumber LIMIT 500""",
+)
 def adhoc_sample(v: Views):
-    return files.query_data(v.lineitem, "l_quantity > 10", limit=500, sample=True, seed=7)
+    return files.query_data(
+        v.lineitem,
+        "l_quantity > 10",
+        limit=500,
+        select="l_orderkey, l_linenumber, l_quantity",
+        sample=True,
+        key="concat_ws('-', l_orderkey, l_linenumber)",
+        order_by=["l_orderkey", "l_linenumber"],
+    )
+
+
+@query(
+    "appended_table",
+    "SELECT n_nationkey, n_name, runs FROM nation, (VALUES (1), (2)) t(runs) WHERE runs = 1 OR n_nationkey < 5",
+)
+def appended_table(v: Views):
+    """A second append adds rows and keeps the first ones."""
+    path = scratch_path(v.spark, "append")
+    rows = v.nation.select("n_nationkey", "n_name")
+    writers.append_table(rows.withColumn("runs", F.lit(1)), path)
+    writers.append_table(rows.where("n_nationkey < 5").withColumn("runs", F.lit(2)), path)
+    return v.spark.read.parquet(path)
+
+
+@query(
+    "monthly_files",
+    """
+    SELECT strftime(o_orderdate, '%Y-%m') AS month, CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS author
+    FROM orders WHERE year(o_orderdate) = 1997""",
+)
+def monthly_files(v: Views):
+    """One folder per month named like a dump file; the year is chosen by name, the month read back from it."""
+    folder = scratch_path(v.spark, "months")
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    rows = v.orders.select(
+        F.concat(F.lit("RC_"), month).alias("dump"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("author")
+    )
+    rows.write.partitionBy("dump").json(folder)
+    wanted = [f"{folder}/dump=RC_1997-{m:02d}" for m in range(1, 13)]
+    path = F.col("_metadata.file_path")
+    found = dumps.read_dump(v.spark, wanted, "comments").withColumn("month", F.regexp_extract(path, r"RC_(\d{4}-\d{2})", 1))
+    return found.select("month", "id", "author")
+
+
+@query(
+    "odd_header_csv",
+    "SELECT CAST(n_nationkey AS VARCHAR) AS code, n_name AS name FROM nation",
+)
+def odd_header_csv(v: Views):
+    """A table below a title and a header, as the census delivers it, in Latin-1."""
+    path = scratch_path(v.spark, "census")
+    rows = v.nation.select(F.concat_ws(",", F.col("n_nationkey").cast("string"), F.concat(F.lit('"'), "n_name", F.lit('"'))).alias("line"), F.col("n_nationkey").alias("o"))
+    head = v.spark.createDataFrame([("Table of nations,", -2), ("code,name", -1)], "line string, o int")
+    text = head.unionByName(rows).orderBy("o").select("line").coalesce(1)
+    text.write.option("encoding", "ISO-8859-1").text(path)
+    return files.read_csv_below(v.spark, path, ["code", "name"], 1, "ISO-8859-1")
+
+
+@query(
+    "transposed_csv",
+    "SELECT 'c' || r_regionkey AS code, r_name AS label, CAST(r_regionkey * 10 AS VARCHAR) AS value FROM region",
+)
+def transposed_csv(v: Views):
+    """Codes, labels and values as three lines of one file."""
+    path = scratch_path(v.spark, "transposed")
+    order = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_regionkey", x.alias("x")))), lambda s: s["x"]), ",")
+    key = F.col("r_regionkey").cast("string")
+    lines = v.region.agg(
+        order(F.concat(F.lit("c"), key)).alias("a"), order(F.col("r_name")).alias("b"), order((F.col("r_regionkey") * 10).cast("string")).alias("c")
+    )
+    lines.select(F.explode(F.array("a", "b", "c"))).coalesce(1).write.text(path)
+    return files.read_transposed(v.spark, path, [f"c{i}" for i in range(5)])
+
+
+@query(
+    "attached_descriptions",
+    f'SELECT h.host, {_DECODED} AS "desc" FROM (SELECT DISTINCT host FROM host_pages_v) h JOIN host_pages_v p ON p.host = h.host WHERE title <> \'\'',
+)
+def attached_descriptions(v: Views):
+    pages = v.host_pages()
+    return glossary.drop_missing(glossary.attach_descriptions(pages.select("host").distinct(), glossary.page_descriptions(pages)))

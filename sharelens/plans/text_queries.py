@@ -10,10 +10,12 @@ from sharelens.operators import glossary as ops
 from sharelens.operators import stats
 from sharelens.operators.positions import slice_positions, with_position
 from sharelens.plans.registry import query
-from sharelens.plans.views import Views
+from sharelens.plans.views import REFERENCES, REFERENCES_DECODED, Views
 
+# titles hold a few references, the last of them cut off at times; the ones that the view adds are replaced as a whole
 _DECODED = (
-    "replace(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')"
+    f"CASE WHEN title <> '' THEN regexp_replace(replace(replace(replace(replace(replace(replace(title, '{REFERENCES}', ''), '&lt;', '<'), "
+    "'&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&'), '&amp$', '&') || '" + REFERENCES_DECODED.replace("'", "''") + "' ELSE '' END"
 )
 
 
@@ -27,11 +29,11 @@ def page_descriptions(v: Views):
     "host_description_slice",
     f"""
     SELECT page_id, host, {_DECODED} AS "desc" FROM (SELECT *, row_number() OVER (ORDER BY host, page_id) - 1 AS p
-    FROM host_pages_v) WHERE p >= 20 AND p < 1000000 AND title <> ''""",
+    FROM host_pages_v) WHERE p >= 20 AND title <> ''""",
 )
 def host_description_slice(v: Views):
     placed = with_position(v.host_pages().select("page_id", "host"), ["host", "page_id"])
-    wanted = slice_positions(placed, 20, 1_000_000)
+    wanted = slice_positions(placed, 20)
     described = v.host_pages().select("page_id", T.page_description(F.col("html")).alias("desc"))
     return ops.drop_missing(wanted.join(described, "page_id", "left")).select("page_id", "host", "desc")
 
@@ -72,7 +74,7 @@ def glossary_of(v: Views):
     listed = v.vectors().select("id")
     seeded = v.clustering().where("cluster_id < 5").select("id")
     names = ops.merge_lists([listed, seeded])
-    texts = v.documents.where("doc_id % 3 <> 0").select(
+    texts = v.documents.select(
         F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("description")
     )
     extra = v.vectors().select("id", F.concat(F.lit("Subreddit no longer exists"), F.lit("")).alias("description"))
@@ -102,7 +104,7 @@ _LINES = f"""
     JOIN (SELECT id, {_tag('age')} || {_tag('gender')} || {_tag('partisan')} AS tags FROM z_v GROUP BY id) t ON t.id = n.id
     JOIN (SELECT id, CASE WHEN c IS NULL THEN 'Subreddit no longer exists' WHEN {_FIRST_LINE} <> c THEN {_FIRST_LINE} || '...' ELSE c END AS d
           FROM (SELECT v.id, c, regexp_replace(c, '\\s', ' ', 'g') AS w FROM vectors_v v
-                LEFT JOIN (SELECT 's' || doc_id AS id, {_CLEAN_TEXT} AS c FROM documents WHERE doc_id % 3 <> 0) x ON x.id = v.id)) d
+                LEFT JOIN (SELECT 's' || doc_id AS id, {_CLEAN_TEXT} AS c FROM documents) x ON x.id = v.id)) d
       ON d.id = n.id"""
 
 

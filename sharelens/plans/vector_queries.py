@@ -10,11 +10,13 @@ from sharelens.operators import links, neighbours
 from sharelens.operators import vectors as ops
 from sharelens.plans.registry import query
 from sharelens.plans.views import SEEDS, TOP_HOSTS, WIDTH, Views, long_vector, rounded
-from sharelens.session import settle
 
 
-def host_vectors_of(v: Views):
-    counts = links.counts_of_top_hosts(settle(links.host_sub_counts(v.comments(), None)), TOP_HOSTS)
+def host_vectors_of(v: Views, top: int | None = TOP_HOSTS):
+    """Vectors of the most posted hosts, or of all."""
+    counts = v.host_counts()
+    if top is not None:
+        counts = links.counts_of_top_hosts(counts, top)
     return ops.host_vectors(counts, v.vectors().select("id", "vec"), WIDTH)
 
 
@@ -88,12 +90,13 @@ def cosine_to_one(v: Views):
 @query(
     "vector_columns",
     """
-    SELECT id, round(vec[1], 6) + 0.0 AS _0, round(vec[2], 6) + 0.0 AS _1, round(vec[64], 6) + 0.0 AS _63
-    FROM vectors_v""",
+    SELECT id, """
+    + ", ".join(f"round(vec[{i + 1}], 6) + 0.0 AS _{i}" for i in range(WIDTH))
+    + " FROM vectors_v",
 )
 def wide_vectors(v: Views):
     wide = v.vectors().select("id", *vector_columns("vec", WIDTH))
-    return rounded(wide.select("id", "_0", "_1", "_63"), "_0", "_1", "_63")
+    return rounded(wide, *wide.columns[1:])
 
 
 @query("knn_pairs", "SELECT c1, c2, rank, round(similarity, 6) + 0.0 AS similarity FROM knn_v")
@@ -184,6 +187,25 @@ def copycat_dimension(v: Views):
     return long_vector(v.dimensions().withColumnRenamed("name", "dim"), "dim")
 
 
+_PAIRS = [("wide", ["s1", "s3", "nowhere", "s9"], ["s2", "s4", "s6"]), ("one_neutral", ["s5", "u_10"], ["s6", "s7"])]
+_PAIR_ROWS = ", ".join(f"('{n}', '{a}', '{b}')" for n, left, right in _PAIRS for a, b in zip(left, right, strict=False))
+
+
+@query(
+    "rebuilt_pairs",
+    f"""
+    SELECT dim, unnest(range(64)) AS pos, unnest(list_transform(vec, lambda x: round(x / sqrt(list_inner_product(vec, vec)), 6) + 0.0)) AS value
+    FROM (SELECT dim, list(v ORDER BY pos) AS vec FROM (
+        SELECT p.dim, pos, avg(CASE WHEN p.dim LIKE '%neutral' THEN b.vec[pos] + a.vec[pos] ELSE b.vec[pos] - a.vec[pos] END) AS v
+        FROM (VALUES {_PAIR_ROWS}) p(dim, l, r) JOIN vectors_v a ON a.id = p.l JOIN vectors_v b ON b.id = p.r, unnest(range(1, 65)) t(pos)
+        GROUP BY p.dim, pos) GROUP BY dim)""",
+)
+def rebuilt_pairs(v: Views):
+    """Several pairs, one with an end that has no vector, one list longer than the other."""
+    stored = v.spark.createDataFrame(_PAIRS, "name string, left_comms array<string>, right_comms array<string>")
+    return long_vector(dims.rebuild_dimensions(stored, v.vectors(), WIDTH).withColumnRenamed("name", "dim"), "dim")
+
+
 @query(
     "random_dimension",
     f"""

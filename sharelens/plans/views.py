@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sharelens.functions.numeric import pearson
 from sharelens.functions.text import HOST_PATTERN, TOKEN_PATTERN, extract_host, tokens
-from sharelens.operators import stats, vectors as vec_ops
+from sharelens.operators import links, stats, vectors as vec_ops
 from sharelens.operators.dimensions import rebuild_dimensions
 from sharelens.session import collect_bounded, settle
 from sharelens.sources.files import Tables
@@ -30,6 +30,8 @@ STORED = [
     ("partisan_neutral", ["s5"], ["s6"]),
 ]
 SEEDS = {"age": [("s1", "s2")], "gender": [("s3", "s4")], "mixed": [("s5", "s6"), ("s7", "s8")]}
+#: Character references that every second page's description ends with, and what they stand for.
+REFERENCES, REFERENCES_DECODED = " &#233;&#x27;&eacute;&notit;&#128;&nbsp", " é'é¬it;€\xa0"
 STOP_WORDS = ["the", "and", "of", "to", "in", "is", "was", "for", "with", "that", "les", "des", "la", "le", "der", "die", "und"]
 
 
@@ -54,6 +56,10 @@ class Views:
         self.tables = Tables(spark, sf_dir)
         self._dimensions: DataFrame | None = None
         self._binned: DataFrame | None = None
+        self._words: DataFrame | None = None
+        self._pairs: DataFrame | None = None
+        self._counts: DataFrame | None = None
+        self._host_counts: DataFrame | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -75,6 +81,12 @@ class Views:
         )
         return rows.withColumn("host", extract_host(F.col("url")))
 
+    def host_counts(self) -> DataFrame:
+        """Posts per host and community; settled, since clusters and vectors both read it."""
+        if self._host_counts is None:
+            self._host_counts = settle(links.host_sub_counts(self.comments(), None))
+        return self._host_counts
+
     def host_labels(self) -> DataFrame:
         return self.part.select(
             site(F.col("p_partkey")).alias("host"),
@@ -128,10 +140,16 @@ class Views:
         below = F.size(F.filter(edges, lambda e: e <= F.col("z"))) - 2
         return z.select(F.col("id").alias("subreddit"), below.alias("bin"))
 
+    def author_posts(self) -> DataFrame:
+        """Posts per author and community; settled, since bins and communities both read it."""
+        if self._counts is None:
+            self._counts = settle(self.comments().groupBy("author", "subreddit").agg(F.count(F.lit(1)).alias("n")))
+        return self._counts
+
     def binned_comments(self) -> DataFrame:
         """Posts per author and community bin; kept, since cells and sizes both read it."""
         if self._binned is None:
-            posts = self.comments().groupBy("author", "subreddit").agg(F.count(F.lit(1)).alias("n"))
+            posts = self.author_posts()
             self._binned = settle(
                 posts.join(self.echo_bins_of(), "subreddit").groupBy("author", "bin").agg(F.sum("n").alias("n"))
             )
@@ -153,7 +171,7 @@ class Views:
         return self.binned_comments().groupBy("bin").agg(F.sum("n").alias("total_comments")).withColumn("dimen", F.lit("partisan"))
 
     def echo_community(self) -> DataFrame:
-        rows = self.comments().groupBy("subreddit", "author").agg(F.count(F.lit(1)).alias("n")).join(self.author_shares(), "author")
+        rows = self.author_posts().join(self.author_shares(), "author")
         return (
             rows.select("subreddit", "n", F.posexplode("shares").alias("p2", "s2"))
             .groupBy("subreddit", (F.col("p2") - 2).alias("bin2"))
@@ -166,6 +184,12 @@ class Views:
         orders = self.orders.select("o_orderkey", "o_orderdate")
         rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         over = lambda t: F.avg((F.col("l_quantity") > t).cast("double"))
+        if self._pairs is None:
+            self._pairs = settle(self._month_pairs(rows, over))
+        return self._pairs
+
+    @staticmethod
+    def _month_pairs(rows: DataFrame, over) -> DataFrame:
         return rows.groupBy(
             F.date_format("o_orderdate", "yyyy-MM").alias("m1"), F.date_format("l_shipdate", "yyyy-MM").alias("m2")
         ).agg(
@@ -179,7 +203,7 @@ class Views:
         return z.select(F.col("id").alias("subreddit"), "z")
 
     def cohorts(self) -> DataFrame:
-        posts = self.comments().groupBy("author", "month", "subreddit").agg(F.count(F.lit(1)).alias("n"))
+        posts = settle(self.comments().groupBy("author", "month", "subreddit").agg(F.count(F.lit(1)).alias("n")))
         first = posts.groupBy("author").agg(F.substring(F.min("month"), 1, 4).alias("first_year"))
         joined = posts.join(self.community_z(), "subreddit").join(first, "author")
         return joined.groupBy("month", "first_year").agg((F.sum(F.abs("z") * F.col("n")) / F.sum("n")).alias("avg_abs_z_score"))
@@ -198,9 +222,10 @@ class Views:
         rows = self.lineitem.groupBy(
             F.col("l_suppkey").cast("double").alias("FIPS"), F.year("l_shipdate").alias("year"), party.alias("party")
         ).agg(F.sum(F.col("l_quantity").cast("int")).alias("candidatevotes"))
-        total = rows.groupBy("FIPS", "year").agg(F.sum("candidatevotes").alias("totalvotes"))
+        # a county and year has three parties at most
+        total = F.sum("candidatevotes").over(Window.partitionBy("FIPS", "year"))
         return (
-            rows.join(total, ["FIPS", "year"])
+            rows.withColumn("totalvotes", total)
             .withColumn("state", F.lit("S"))
             .withColumn("county", F.concat(F.lit("county "), F.col("FIPS").cast("int").cast("string")))
         )
@@ -241,14 +266,16 @@ class Views:
         return rows.select(F.col("p_type").alias("community"), "occ")
 
     def words_scored(self) -> DataFrame:
-        """Frequent words with one share per dimension."""
+        """All words with one share per dimension; settled, since several steps read them."""
         words = self.documents.select("lang", "doc_id", F.explode(tokens(F.col("text"))).alias("word"))
         counts = words.groupBy("word").agg(
             F.count(F.lit(1)).alias("n"),
             F.avg((F.col("lang") == "en").cast("double")).alias("age"),
             F.avg((F.col("doc_id") % 2 == 0).cast("double")).alias("partisan"),
         )
-        return counts.where("n >= 100").select("word", "age", "partisan")
+        if self._words is None:
+            self._words = settle(counts.select("word", "age", "partisan"))
+        return self._words
 
     def users(self) -> DataFrame:
         return self.customer.select(
@@ -260,7 +287,7 @@ class Views:
     def host_pages(self) -> DataFrame:
         """Pages with a description meta tag for every second page."""
         title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-        tag = F.concat(F.lit('<head><meta property="x"><meta content="'), title, F.lit('" name="Description">'))
+        tag = F.concat(F.lit('<head><meta property="x"><meta content="'), title, F.lit(f'{REFERENCES}" name="Description">'))
         html = F.when(F.col("page_id") % 2 == 0, F.replace("html", F.lit("<head>"), tag)).otherwise(F.col("html"))
         return self.pages.select("page_id", extract_host(F.col("url")).alias("host"), html.alias("html"))
 
@@ -328,6 +355,14 @@ CTES = {
         SELECT s.host, list(s.v / n.length ORDER BY s.pos) AS vec FROM host_sums_v s
         JOIN (SELECT host, sqrt(sum(v * v)) AS length FROM host_sums_v GROUP BY host) n ON n.host = s.host
         GROUP BY s.host""",
+    "all_host_sums_v": """
+        SELECT host, pos, sum(v * count) AS v FROM (
+            SELECT c.host, c.count, unnest(v.vec) AS v, unnest(range(len(v.vec))) AS pos
+            FROM host_sub_counts_v c JOIN vectors_v v ON v.id = c.subreddit) GROUP BY host, pos""",
+    "all_host_vectors_v": """
+        SELECT s.host, list(s.v / n.length ORDER BY s.pos) AS vec FROM all_host_sums_v s
+        JOIN (SELECT host, sqrt(sum(v * v)) AS length FROM all_host_sums_v GROUP BY host) n ON n.host = s.host
+        GROUP BY s.host""",
     "clustering_v": f"""
         SELECT {_COMM.format(k="vec_id")} AS id, label AS cluster_id, 'c' || label AS cluster_name FROM embeddings""",
     "dimension_seeds_v": f"SELECT * FROM (VALUES {_dimension_rows()}) t(name, l, r, sign)",
@@ -425,10 +460,10 @@ CTES = {
     "words_scored_v": """
         SELECT word, avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END) AS age,
                avg(CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.0 END) AS partisan
-        FROM tokens_v GROUP BY word HAVING count(*) >= 100""",
+        FROM tokens_v GROUP BY word""",
     "host_pages_v": f"""
         SELECT page_id, regexp_extract(url, '{HOST_PATTERN}', 3) AS host, CASE WHEN page_id % 2 = 0
-               THEN regexp_extract(html, '<title>([^<]*)</title>', 1) ELSE '' END AS title FROM pages""",
+               THEN regexp_extract(html, '<title>([^<]*)</title>', 1) || '{REFERENCES}' ELSE '' END AS title FROM pages""",
 }
 
 

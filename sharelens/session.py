@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders that this process made below the checkpoint folder, by session; removed by :func:`clean`.
+_made: dict[SparkSession, set[str]] = {}
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder: on a cluster a
-    machine-local path would be lost with its executor.
+    Only a session whose executors are threads of the driver may do without the setting: any other
+    would lose a machine-local path with its executor.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     root = tempfile.mkdtemp(prefix="sharelens-")
     spark.conf.set("spark.checkpoint.dir", root)
@@ -31,12 +36,43 @@ def settle(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_root(spark))
+        _made.setdefault(spark, set()).add(context.getCheckpointDir())
     return df.checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder for one run's files."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark, set()).add(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes the settled tables and scratch files of a session; results built on them are gone too.
+
+    Runs by itself when the process ends. Long sessions set
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` to drop settled tables as soon as nothing refers to them.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in sorted(_made.pop(spark, ())):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    # the next settled table needs its folder again
+    if spark.sparkContext.getCheckpointDir() is not None:
+        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
+        _made.setdefault(spark, set()).add(spark.sparkContext.getCheckpointDir())
+
+
+@atexit.register
+def _clean_all() -> None:
+    for spark in list(_made):
+        try:
+            if spark.sparkContext._jsc is not None:
+                clean(spark)
+                place = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir() or "/nowhere")
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # noqa: BLE001  (the JVM may be gone already)
+            return
 
 
 def collect_bounded(df: DataFrame, limit: int, what: str) -> list[Row]:
@@ -47,23 +83,11 @@ def collect_bounded(df: DataFrame, limit: int, what: str) -> list[Row]:
     return rows
 
 
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    """Counts at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def hint_small(settled: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Broadcast hint for a settled or stored table that was counted; a larger side keeps Spark's shuffle join."""
+    return F.broadcast(settled) if settled.count() <= max_rows else settled
 
 
-def hint_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint only after counting; a larger side keeps Spark's shuffle join."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
-
-def bounded_map(df: DataFrame, key: str, value: Column, limit: int = 1_000) -> Column:
-    """A small table as a map literal (scalar subquery), checked inside the plan.
-
-    Saves the shuffle that a join on a handful of keys would cost the large side.
-    """
-    entries = F.map_from_entries(F.collect_list(F.struct(F.col(key), value.alias("value"))))
-    checked = F.when(F.count(F.lit(1)) <= limit, entries).otherwise(
-        F.raise_error(F.lit(f"more than {limit} values of {key}"))
-    )
-    return df.agg(checked.alias("entries")).scalar()
+def settle_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Settles a side of a join, so that counting it does not run its plan again, and hints it if it is small."""
+    return hint_small(settle(df), max_rows)

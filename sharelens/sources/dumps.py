@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sharelens.functions.text import unescape_body
-from sharelens.session import hint_small
+from sharelens.session import settle_small
 
 # The dump schemas, by hand so that no pass over the data infers them.
 SCHEMAS = {
@@ -132,7 +132,7 @@ def human_active(df: DataFrame, users: DataFrame) -> DataFrame:
     shuffle, where Spark splits a hot author.
     """
     wanted = users.where(~F.col("is_bot") & F.col("is_active")).select(F.col("user").alias("author"))
-    return df.join(hint_small(wanted, MAX_BROADCAST_USERS), "author", "left_semi")
+    return df.join(settle_small(wanted, MAX_BROADCAST_USERS), "author", "left_semi")
 
 
 def import_comments(df: DataFrame, users: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sharelens.functions.vectors import unit
 from sharelens.operators.dimensions import rename_stored
-from sharelens.session import hint_small
+from sharelens.session import settle_small
 from sharelens.sources.files import add_row_number, read_csv
 
 
@@ -52,7 +52,7 @@ def load_dimensions(spark: SparkSession, path: str, names: list[str] | None = No
         return dims
     listed = [(i, n.strip().split("/")[-1]) for i, n in enumerate(names)]
     wanted = spark.createDataFrame(listed, "ord int, name string")
-    return dims.join(hint_small(wanted), "name").orderBy("ord").drop("ord")
+    return dims.join(settle_small(wanted), "name").orderBy("ord").drop("ord")
 
 
 def load_word_pmi(spark: SparkSession, path: str) -> DataFrame:

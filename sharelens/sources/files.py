@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sharelens.session import hint_small
+from sharelens.session import settle, settle_small
 
 
 class Tables:
@@ -41,16 +41,17 @@ def read_csv(spark: SparkSession, paths: list[str] | str, schema: str, sep: str
 def add_row_number(df: DataFrame, name: str = "row") -> DataFrame:
     """0-based row number over the files in path order.
 
-    ``df`` is a fresh file scan. A row's place within its file block does not
-    depend on how Spark packs blocks into tasks, so the number only needs the
-    row counts of the blocks before it. That table has one row per file block.
+    ``df`` is a fresh file scan. One settled numbering gives both the rows' ids and the offsets of their
+    blocks, so it does not matter how Spark packs blocks into tasks. The offsets have one row per file block.
     """
-    marked = df.withColumns(
-        {
-            "__path": F.col("_metadata.file_path"),
-            "__start": F.col("_metadata.file_block_start"),
-            "__id": F.monotonically_increasing_id(),
-        }
+    marked = settle(
+        df.withColumns(
+            {
+                "__path": F.col("_metadata.file_path"),
+                "__start": F.col("_metadata.file_block_start"),
+                "__id": F.monotonically_increasing_id(),
+            }
+        )
     )
     blocks = marked.groupBy("__path", "__start").agg(
         F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n")
@@ -59,7 +60,7 @@ def add_row_number(df: DataFrame, name: str = "row") -> DataFrame:
     offsets = blocks.select(
         "__path", "__start", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift")
     )
-    placed = marked.join(hint_small(offsets), ["__path", "__start"])
+    placed = marked.join(settle_small(offsets), ["__path", "__start"])
     return placed.select(*df.columns, (F.col("__id") + F.col("__shift")).alias(name))
 
 
@@ -97,10 +98,25 @@ def load_clustering(spark: SparkSession, path: str) -> DataFrame:
 
 
 def query_data(
-    df: DataFrame, where: str, limit: int | None = None, select: str = "*", sample: bool = False, seed: int | None = None
+    df: DataFrame,
+    where: str,
+    limit: int | None = None,
+    select: str = "*",
+    sample: bool = False,
+    seed: int | None = None,
+    key: str | None = None,
+    order_by: list[str] | None = None,
 ) -> DataFrame:
-    """Ad-hoc query: predicate, columns, optional limit and 5 % sample."""
-    if sample:
+    """Ad-hoc query: predicate, columns, optional limit and 5 % sample.
+
+    With ``key``, an expression that tells rows apart, the sample is decided by a digest of it, so it is
+    the same on every run and engine; ``order_by``, if total, makes a limit reproducible as well.
+    """
+    if sample and key is not None:
+        df = df.where(F.conv(F.substring(F.md5(F.expr(key)), 1, 8), 16, 10).cast("bigint") < F.lit(int(0.05 * 2**32)))
+    elif sample:
         df = df.sample(False, 0.05, seed)
+    if order_by:
+        df = df.orderBy(*order_by) if limit is not None else df
     df = df.where(where).selectExpr(select) if select == "*" else df.where(where).select(F.expr(f"struct({select}) as s")).select("s.*")
     return df if limit is None else df.limit(limit)

@@ -23,11 +23,31 @@ def test_no_cross_joins(spark, name):
 
 
 def test_scans_read_needed_columns_only(spark):
-    text = plan(QUERIES["host_sub_counts"](spark, SF_DIR))
+    text = plan(links.host_sub_counts(Views(spark, SF_DIR).comments(), None))
     read = " ".join(re.findall(r"ReadSchema: struct<([^>]*)", text))
     assert "l_partkey" in read and "l_extendedprice" not in read and "o_totalprice" not in read
 
 
+READS_ONCE = {
+    "lineitem": "host_sub_counts host_leaning activity_share month_matrix lagged_pairs lag12_stats cohort_matrix election_diff "
+    "county_results echo_community echo_cells cluster_report",
+    "documents": "extremes_table glossary_names",
+}
+
+
+@pytest.mark.parametrize("table, name", [(t, n) for t, names in READS_ONCE.items() for n in names.split()])
+def test_raw_tables_are_read_once(spark, monkeypatch, table, name):
+    plans, checkpoint = [], type(spark.range(1)).checkpoint
+
+    def watched(df, *args, **kwargs):
+        plans.append(plan(df))
+        return checkpoint(df, *args, **kwargs)
+
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", watched)
+    plans.append(plan(QUERIES[name](spark, SF_DIR)))
+    assert sum(text.count(f"/{table}.parquet]") for text in plans) == 1
+
+
 def test_filters_reach_the_scan(spark):
     text = plan(QUERIES["adhoc_query"](spark, SF_DIR))
     assert "l_quantity,40.0)" in text and "EqualTo(l_returnfl" in text

@@ -26,7 +26,7 @@ def test_query(spark, duck, name):
 
 
 def test_only_non_sql_queries_lack_sql():
-    assert set(QUERIES) - set(SQL) == {"cluster_hosts", "cluster_hosts_kmeans", "cluster_report_text", "adhoc_sample"}
+    assert set(QUERIES) - set(SQL) == {"cluster_hosts", "cluster_hosts_kmeans"}
 
 
 def test_entry(spark):
