@@ -70,12 +70,11 @@ def activity_shares(activity: DataFrame, scores: DataFrame, bins: int = 30, frac
         .agg(F.sum("num_comments").alias("num_comments"))
     )
     totals = settle_small(binned.groupBy("month").agg(F.sum("num_comments").alias("total")))
-    shares = binned.join(totals, "month").withColumn("share", F.col("num_comments") / F.col("total"))
-    overall = shares.groupBy("month", "partisan").agg(F.sum("share").alias("share"))
-    columns = ["month", "user_bin", "partisan", "share"]
-    return shares.select(columns).unionByName(
-        overall.withColumn("user_bin", F.lit(0)).select(columns)
-    )
+    # counts are summed, not shares, so the result does not depend on the order of addition
+    overall = binned.groupBy("month", "partisan").agg(F.sum("num_comments").alias("num_comments"))
+    both = binned.unionByName(overall.withColumn("user_bin", F.lit(0)))
+    shared = both.join(totals, "month").withColumn("share", F.col("num_comments") / F.col("total"))
+    return shared.select("month", "user_bin", "partisan", "share")
 
 
 def extreme_shares(activity: DataFrame, scores: DataFrame, edges: tuple[float, float] = (-3.0, 3.0)) -> DataFrame:

@@ -38,7 +38,7 @@ def _shares(name: str, edges: str) -> str:
     SELECT '{name}' AS mode, month, user_bin, partisan, round(n / total, 6) AS share FROM (
         SELECT *, sum(n) OVER (PARTITION BY month) AS total FROM {rows})
     UNION ALL
-    SELECT '{name}', month, 0, partisan, round(sum(n / total), 6) FROM (
+    SELECT '{name}', month, 0, partisan, round(sum(n) / any_value(total), 6) FROM (
         SELECT *, sum(n) OVER (PARTITION BY month) AS total FROM {rows}) GROUP BY month, partisan"""
 
 
@@ -56,9 +56,9 @@ def activity_share(v: Views):
 @query(
     "share_by_month",
     f"""
-    SELECT m.month, round(sum(CASE WHEN partisan = 0 THEN n / total END), 6) AS "0",
-           round(sum(CASE WHEN partisan = 1 THEN n / total END), 6) AS "1",
-           round(sum(CASE WHEN partisan = 2 THEN n / total END), 6) AS "2"
+    SELECT m.month, round(sum(CASE WHEN partisan = 0 THEN n END) / any_value(total), 6) AS "0",
+           round(sum(CASE WHEN partisan = 1 THEN n END) / any_value(total), 6) AS "1",
+           round(sum(CASE WHEN partisan = 2 THEN n END) / any_value(total), 6) AS "2"
     FROM (SELECT unnest({MONTHS}) AS month) m LEFT JOIN (
         SELECT *, sum(n) OVER (PARTITION BY month) AS total
         FROM {_share_sql("[mean - 2 * sd, mean + 2 * sd]")}) r ON r.month = m.month
