@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sharelens.functions.text import SITE_HOSTS, extract_host, extract_url, has_link
@@ -100,16 +100,17 @@ def select_link_posts(
 
 
 def host_sub_counts(comments: DataFrame, pair_limit: int | None = 20) -> DataFrame:
-    """``host, subreddit, count`` over posts of light pairs; one pass over ``comments``.
+    """``host, subreddit, count`` over posts of light pairs; one pass over ``comments``, one plan for every size.
 
-    Rows are counted by (author, host, subreddit) where they are read. From that settled table come
-    the pair totals and, without the heavy pairs, the counts. Filter hosts before, not after.
+    Rows are counted by (author, host, subreddit) where they are read; a window adds up the few rows that
+    are left of each pair, so even a pair with a third of all posts is no more than its communities. Filter
+    hosts before, not after.
     """
     if pair_limit is None:
         return comments.groupBy("host", "subreddit").agg(F.count(F.lit(1)).alias("count"))
-    counted = settle(comments.groupBy("author", "host", "subreddit").agg(F.count(F.lit(1)).alias("n")))
-    heavy = counted.groupBy("author", "host").agg(F.sum("n").alias("n")).where(F.col("n") >= pair_limit).drop("n")
-    light = _without(counted, settle_small(heavy, MAX_BROADCAST_PAIRS))
+    counted = comments.groupBy("author", "host", "subreddit").agg(F.count(F.lit(1)).alias("n"))
+    of_pair = F.sum("n").over(Window.partitionBy("author", "host"))
+    light = counted.withColumn("of_pair", of_pair).where(F.col("of_pair") < pair_limit)
     return light.groupBy("host", "subreddit").agg(F.sum("n").alias("count"))
 
 

@@ -141,9 +141,9 @@ class Views:
         return z.select(F.col("id").alias("subreddit"), below.alias("bin"))
 
     def author_posts(self) -> DataFrame:
-        """Posts per author and community; settled, since bins and communities both read it."""
+        """Posts per author and community."""
         if self._counts is None:
-            self._counts = settle(self.comments().groupBy("author", "subreddit").agg(F.count(F.lit(1)).alias("n")))
+            return self.comments().groupBy("author", "subreddit").agg(F.count(F.lit(1)).alias("n"))
         return self._counts
 
     def binned_comments(self) -> DataFrame:
@@ -171,6 +171,7 @@ class Views:
         return self.binned_comments().groupBy("bin").agg(F.sum("n").alias("total_comments")).withColumn("dimen", F.lit("partisan"))
 
     def echo_community(self) -> DataFrame:
+        self._counts = settle(self.author_posts())  # both sides of the join read it
         rows = self.author_posts().join(self.author_shares(), "author")
         return (
             rows.select("subreddit", "n", F.posexplode("shares").alias("p2", "s2"))
