@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sharelens.llm.common import per_batch
+from sharelens.llm.common import per_batch, small
 from sharelens.session import settle
 
 TOKEN = re.compile(
@@ -305,7 +305,8 @@ def extract(pages: DataFrame) -> DataFrame:
     gives an empty result. Other columns are ignored.
     """
     hosted = host_of(pages)
-    known = settle(templates(hosted))
+    # templates hold a few paths each; counted, they are broadcast and the pages of a hot host stay where they are
+    known = small(settle(templates(hosted)), 20_000)
     asked = hosted.join(known, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "main", "fixed")
 
     def work(batch: pa.RecordBatch) -> dict:
