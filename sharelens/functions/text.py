@@ -132,7 +132,8 @@ def unescape_html(text: Column) -> Column:
     """All numeric and named character references decoded, as a browser does, in one pass."""
     references = F.regexp_extract_all(text, F.lit(REFERENCE_PATTERN), F.lit(0))
     between = F.split(text, REFERENCE_PATTERN, -1)
-    parts = F.transform(between, lambda gap, i: F.concat(gap, F.coalesce(_decoded(F.get(references, i)), F.lit(""))))
+    # there is one piece more than references; the lambda sees single elements, so the text is cut up once
+    parts = F.zip_with(between, references, lambda gap, found: F.concat(gap, F.coalesce(_decoded(found), F.lit(""))))
     return F.when(text.contains("&"), F.array_join(parts, "")).otherwise(text)
 
 

@@ -33,8 +33,8 @@ def with_description(names: DataFrame, metadata: DataFrame, additional: DataFram
 
 
 def short_description(text, width: int = 130):
-    """Cleaned first line, escaped for LaTeX, status sentences replaced."""
-    return T.replace_status(T.tex_escape(T.first_line(T.clean_description(text), width)))
+    """First line of a cleaned text, escaped for LaTeX, status sentences replaced."""
+    return T.replace_status(T.tex_escape(T.first_line(text, width)))
 
 
 def glossary_lines(names: DataFrame, bins: DataFrame, width: int = 130) -> DataFrame:
@@ -47,7 +47,9 @@ def glossary_lines(names: DataFrame, bins: DataFrame, width: int = 130) -> DataF
     # ids alone are ranked; the texts are cut to their first line before they meet the positions
     keys = names.select("id", "first_letter", F.lower("id").alias("sort_key"))
     placed = with_position(keys, ["sort_key", "id"], ["first_letter"])
-    short = names.select("id", short_description(F.coalesce("description", F.lit("")), width).alias("short"))
+    # cleaned in a step of its own: the first line looks at its text several times
+    clean = names.select("id", T.clean_description(F.coalesce("description", F.lit(""))).alias("clean"))
+    short = clean.select("id", short_description(F.col("clean"), width).alias("short"))
     placed = placed.join(short, "id").join(bins.select("id", *GLOSSARY_DIMENSIONS), "id", "left")
     tags = [
         F.concat(F.lit("{gstd_"), T.score_tag(d, F.coalesce(F.col(d), F.lit(0))), F.lit("}"))

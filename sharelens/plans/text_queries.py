@@ -135,3 +135,17 @@ def glossary_names(v: Views):
     words = v.words_scored().where(T.is_latin(F.col("word"))).select(F.col("word").alias("id"))
     names = ops.merge_lists([v.vectors().select("id"), words]).withColumn("key", F.lower("id"))
     return with_position(names, ["key", "id"], ["first_letter"]).drop("key")
+
+
+@query(
+    "redacted_words",
+    """
+    SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(w, 'n.gger', 'n-gger', 'g'), 'f.ggot', 'f-ggot', 'g'), 'r.tard', 'r-tard', 'g') AS word
+    FROM (SELECT p_partkey, p_brand || ' n' || p_size % 10 || 'gger f' || p_partkey % 10 || 'ggots r' || p_partkey % 12 || 'tard' AS w FROM part)""",
+)
+def redacted_words(v: Views):
+    """Words that the patterns match, with another character in place of the vowel; two digits are no match."""
+    word = F.concat(
+        "p_brand", F.lit(" n"), F.col("p_size") % 10, F.lit("gger f"), F.col("p_partkey") % 10, F.lit("ggots r"), F.col("p_partkey") % 12, F.lit("tard")
+    )
+    return v.part.select("p_partkey", T.redact(word).alias("word"))
