@@ -1,15 +1,16 @@
 """Main-text extraction by equivalence-class template deduction.
 
-Pages of one host share a template. A token is an element path with class and id names; its occurrence
-vector says how often it occurs on each page of the host. Tokens with equal vectors form an equivalence
-class; a class is valid if it is frequent and its paths hang below paths of the template, so that valid
-classes nest; members that do not are split off. What lies between template tokens are slots. The slot that holds the
-article is the outermost path that its names call an article, or else the innermost once-per-page path
-that holds most of the text that is not links; slots named as menus, notices, adverts, forms,
-comments and the like, and slots outside of the article whose text never changes, are not part of it.
-
-Occurrence vectors are compared by a signature, the exclusive or of one hash per page and count, so
-a host of any size is summed up by partial aggregation and never gathered in one task.
+Pages of one host share a template, or a few: one for each layout. A token is an element path with class and id
+names, or a text at a path; its occurrence vector says how often it occurs on each page of the host. Tokens with
+equal vectors form an equivalence class, so the tokens of one layout are one. What lies between them are slots. The
+slot that holds the article is found on the way down from the root, along once-per-page paths that hold most of the
+text of the pages on which they occur; among nested slots an outermost path called an article is preferred, and an
+article or main element whose text varies is always a slot. Texts of the same class as the slot (or an element around
+it) and slots whose text never changes are template, below a named article too. Elements named as menus, notices,
+adverts, forms, comments and the like are not part of an article.
+
+Occurrence vectors are compared by a signature, the sum of one hash per page and count, so a host of any size is
+summed up by partial aggregation; only template tokens are gathered.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ BOILERPLATE = set(
 ARTICLE = set("article main content post entry story body articlebody postbody entrycontent".split())
 PAGE_HEADER = {"header", "header:banner"}
 SUPPORT, LINKS, MOST = 0.3, 0.5, 0.6
+#: Pages that make a template, the share of a path's pages on which the paths below it must take over.
+LEAST, COVER = 3, 0.9
 
 
 def tokens_of(attributes: str) -> list[str]:
@@ -140,29 +143,53 @@ def walk(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def excluded(path: str, known: dict[str, bool]) -> bool:
-    """Whether any element of a path excludes it; ``known`` remembers answers."""
+    """Whether any element of a path excludes it; ``known`` remembers answers, and holds those of elements that are kept."""
     if path not in known:
         parent, _, label = path.rpartition(">")
         known[path] = bool(path) and (excluded(parent, known) or is_boilerplate(label, any(map(is_article, parent.split(">")))))
     return known[path]
 
 
+def above(path: str) -> list[str]:
+    """The path and all paths that contain it, innermost first."""
+    found = []
+    while path:
+        found.append(path)
+        path = path.rpartition(">")[0]
+    return found
+
+
+def mark_of(path: str, value: str) -> str:
+    """A text token: where it stands and what it says, spaces apart."""
+    return f"{path}\n{xxhash.xxh64_hexdigest(' '.join(value.split()).encode('utf-8', 'surrogatepass'))}"
+
+
+def in_link(path: str) -> bool:
+    return ">a" in path and any(p == "a" or p.startswith("a.") for p in path.split(">"))
+
+
 def summary(page: str) -> dict[str, list[int]]:
-    """Path -> [occurrences, characters of text below, those in links, hash of the text below]. Excluded parts have no text."""
-    found: dict[str, list[int]] = {}
+    """Token -> [occurrences, characters of text below, those in links, hash of the text below]. Excluded parts have none.
+
+    Tokens are element paths and the texts at them; the empty path stands for the page.
+    """
+    events = list(walk(page))
+    found: dict[str, list[int]] = {"": [1, 0, 0, 0]}
     known: dict[str, bool] = {}
-    for event, path, value in walk(page):
+    for event, path, value in events:
         if event == "open":
-            found.setdefault(path, [0, 0, 0, 0])[0] += 1
+            if not excluded(path, known):
+                found.setdefault(path, [0, 0, 0, 0])[0] += 1
         elif event == "text" and not excluded(path, known):
             size = len("".join(value.split()))
             if size:
-                linked = size if ">a" in path and any(p == "a" or p.startswith("a.") for p in path.split(">")) else 0
+                linked = size if in_link(path) else 0
                 mark = xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass")) >> 1
-                while path:
-                    row = found.setdefault(path, [0, 0, 0, 0])
+                row = found.setdefault(mark_of(path, value), [0, 0, 0, mark])
+                row[0], row[1], row[2] = row[0] + 1, row[1] + size, row[2] + linked
+                for p in (*above(path), ""):
+                    row = found.setdefault(p, [0, 0, 0, 0])
                     row[1], row[2], row[3] = row[1] + size, row[2] + linked, (row[3] * 31 + mark) & (1 << 62) - 1
-                    path = path.rpartition(">")[0]
     return found
 
 
@@ -170,13 +197,15 @@ def host_of(pages: DataFrame) -> DataFrame:
     """page_id, url, host, html."""
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    return pages.select("page_id", "url", host.alias("host"), F.col("html").cast("string").alias("html"))
+    page = F.col("html").cast("string")
+    return pages.select("page_id", "url", host.alias("host"), page.alias("html"))
 
 
 def token_statistics(pages: DataFrame) -> DataFrame:
-    """Per host and path: pages, signature of the occurrence vector, most occurrences, text, links, least and greatest text hash.
+    """Per host and token: pages, signature of the occurrence vector, most occurrences, text, links, text of its pages, least and greatest text hash.
 
-    Summed up per batch before the shuffle; the empty path counts the pages of the host.
+    Summed up per batch before the shuffle; the empty path counts the pages of the host. The signature is a sum,
+    in which repeated rows do not cancel each other. Texts on fewer than LEAST pages are left out.
     """
 
     def work(batch: pa.RecordBatch) -> dict:
@@ -184,76 +213,98 @@ def token_statistics(pages: DataFrame) -> DataFrame:
         for ident, host, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "host", "html")), strict=True):
             page = page or ""
             key = f"{ident}:{xxhash.xxh64_intdigest(page.encode('utf-8', 'surrogatepass'))}"
-            for path, (count, size, linked, mark) in ({"": [1, 0, 0, 0]} | summary(page)).items():
-                bits = xxhash.xxh64_intdigest(f"{key}:{count}") - (1 << 63)
-                row = sums.setdefault((host, path), [0, 0, 0, 0, 0, mark, mark])
+            tokens = summary(page)
+            for path, (count, size, linked, mark) in tokens.items():
+                row = sums.setdefault((host, path), [0, 0, 0, 0, 0, 0, mark, mark])
                 row[0] += 1
-                row[1] ^= bits
+                row[1] += xxhash.xxh64_intdigest(f"{key}:{count}") >> 20
                 row[2] = max(row[2], count)
                 row[3] += size
                 row[4] += linked
-                row[5], row[6] = min(row[5], mark), max(row[6], mark)
-        columns = list(zip(*sums.values(), strict=True)) if sums else [()] * 7
-        named = zip(("pages", "signature", "most", "size", "linked", "low", "high"), columns, strict=True)
+                row[5] += tokens[""][1]
+                row[6], row[7] = min(row[6], mark), max(row[7], mark)
+        columns = list(zip(*sums.values(), strict=True)) if sums else [()] * 8
+        named = zip(("pages", "signature", "most", "size", "linked", "around", "low", "high"), columns, strict=True)
         return {
             "host": pa.array([h for h, _ in sums], pa.string()),
             "path": pa.array([p for _, p in sums], pa.string()),
         } | {name: pa.array(values, pa.int64()) for name, values in named}
 
-    schema = "host string, path string, pages bigint, signature bigint, most bigint, size bigint, linked bigint, low bigint, high bigint"
-    return per_batch(pages, schema, work).groupBy("host", "path").agg(
+    schema = "host string, path string, pages bigint, signature bigint, most bigint, size bigint, linked bigint, around bigint, low bigint, high bigint"
+    summed = per_batch(pages, schema, work).groupBy("host", "path").agg(
         F.sum("pages").alias("pages"),
-        F.bit_xor("signature").alias("signature"),
+        F.sum(F.col("signature").cast("decimal(38,0)")).alias("signature"),
         F.max("most").alias("most"),
         F.sum("size").alias("size"),
         F.sum("linked").alias("linked"),
+        F.sum("around").alias("around"),
         F.min("low").alias("low"),
         F.max("high").alias("high"),
     )
+    return summed.where(~F.col("path").contains("\n") | (F.col("pages") >= LEAST))
 
 
 def deduce(rows: list[dict], pages: int) -> tuple[list[str], list[str]]:
-    """Template of one host -> (paths that hold the article, paths whose text never changes)."""
-    classes: dict[int, list[dict]] = {}
-    for row in rows:
-        classes.setdefault(row["signature"], []).append(row)
-    template: dict[str, dict] = {"": {"most": 1, "size": 0, "linked": 0}}
-    open_classes = sorted(classes.values(), key=lambda c: (-c[0]["pages"], min(r["path"].count(">") for r in c)))
-    grown = True
-    while grown:  # members join once they hang below the template; the others stay behind as a class of their own
-        grown = False
-        for members in open_classes:
-            for row in sorted(members, key=lambda r: r["path"].count(">")):
-                if row["path"] not in template and row["path"].rpartition(">")[0] in template:
-                    template[row["path"]] = row
-                    grown = True
-    del template[""]
-    known: dict[str, bool] = {}
-    usable = {p: r for p, r in template.items() if not excluded(p, known) and r["size"] > 0}
-    named = [p for p in usable if is_article(p.rpartition(">")[2])]
-    outer = [p for p in named if not any(p.startswith(q + ">") for q in named)]
-    if outer:
-        return sorted(outer), []
+    """Template of one host -> (paths that hold the article, paths and text tokens that never change).
+
+    Every layout of the host has its own paths: a share of text is measured on the pages on which a path occurs.
+    """
+    template = {r["path"]: r for r in rows if "\n" not in r["path"]}
+    usable = {p: r for p, r in template.items() if r["size"] > 0}
     total = max([r["size"] for r in usable.values()], default=0)
-    dense = [
-        p for p, r in usable.items() if r["most"] == 1 and r["size"] >= MOST * total and r["linked"] < LINKS * r["size"]
-    ]
-    main = max(dense, key=lambda p: (p.count(">"), p), default=None)
-    fixed = [
-        p
-        for p, r in usable.items()
-        if pages >= 3 and r["low"] == r["high"] and r["pages"] >= 3 and r["size"] < LINKS * total and (main is None or p.startswith(main + ">"))
-    ]
-    return ([main] if main else []), sorted(fixed)
+    around = lambda r: total
+    constant = lambda r: r["pages"] >= LEAST and r["low"] == r["high"] and r["size"] < LINKS * around(r)
+    dense = lambda r: r["most"] == 1 and r["size"] >= MOST * around(r) and r["linked"] < LINKS * r["size"]
+    kids: dict[str, list[str]] = {}
+    for p in sorted(usable):
+        kids.setdefault(p.rpartition(">")[0], []).append(p)
+    classes: dict[tuple, list[str]] = {}
+    for r in rows:
+        classes.setdefault((r["pages"], r["signature"]), []).append(r["path"])
+    class_of = lambda r: classes[r["pages"], r["signature"]]
+    named = [p for p, r in usable.items() if is_article(p.rpartition(">")[2]) and not constant(r)]
+    outer = set(named) - {p for p in named if not set(above(p)[1:]).isdisjoint(named)}
+    main: set[str] = set()
+    for p in outer:  # an article or main element in a named slot is the slot if all pages have it and it holds most text
+        tags = [q for q in named if q.startswith(p + ">") and q.rpartition(">")[2].partition(".")[0] in ("article", "main")]
+        tags = [q for q in tags if usable[q]["pages"] == usable[p]["pages"] and usable[q]["size"] >= MOST * usable[p]["size"]]
+        main.add(min(tags, key=lambda q: (q.count(">"), q), default=p))
+    waiting = [""]
+    while waiting:  # down the dense paths; a path whose pages are not all dense further down is a slot itself
+        at = waiting.pop()
+        if at in outer:
+            continue
+        inner = [p for p in kids.get(at, []) if dense(usable[p])]
+        if at and sum(usable[p]["pages"] for p in inner) < COVER * usable[at]["pages"]:
+            if not any(p.startswith(at + ">") and usable[p]["pages"] == usable[at]["pages"] for p in outer):
+                main.add(at)
+            # an optional part is no layout; a class with tokens beside it is one
+            inner = [p for p in inner if sum(not below(q, [p]) and not below(p, [q]) for q in class_of(usable[p])) >= 2]
+        waiting += inner
+    fixed: list[str] = []
+    for slot in sorted(main) if pages >= LEAST else []:
+        row = usable[slot]
+        lines = {p for q in above(slot) for p in class_of(template[q]) if "\n" in p and p.startswith((slot + ">", slot + "\n"))}
+        size = {r["path"]: r["size"] for r in rows}
+        if row["pages"] >= LEAST and sum(size[p] for p in lines) < LINKS * row["size"]:
+            fixed += lines
+        fixed += [p for p, r in usable.items() if p.startswith(slot + ">") and constant(r) and r["pages"] >= SUPPORT * row["pages"]]
+    return sorted(main), sorted(set(fixed))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """One row per host: ``main`` paths and ``fixed`` paths. Paths on fewer than SUPPORT of a host's pages are no template."""
+    """One row per host: ``main`` paths and ``fixed`` tokens. Paths on fewer than SUPPORT of a host's pages are no template.
+
+    Only those texts are gathered whose occurrence vector is that of an element.
+    """
     tokens = settle(token_statistics(pages))
     counts = tokens.where("path = ''").select(F.col("host").alias("of"), F.col("pages").alias("total"))
-    frequent = tokens.where("path <> ''").join(counts, F.col("host") == F.col("of"))
+    elements = tokens.where("path <> ''").where(~F.col("path").contains("\n"))
+    vectors = elements.select("host", "pages", "signature").distinct()
+    lines = tokens.where(F.col("path").contains("\n")).join(vectors, ["host", "pages", "signature"], "left_semi")
+    frequent = elements.unionByName(lines.select(*elements.columns)).join(counts, F.col("host") == F.col("of"))
     frequent = frequent.where(F.col("pages") >= F.greatest(F.lit(1), F.col("total") * SUPPORT))
-    fields = ("path", "pages", "signature", "most", "size", "linked", "low", "high")
+    fields = ("path", "pages", "signature", "most", "size", "linked", "around", "low", "high")
     per_host = frequent.groupBy("host", "total").agg(F.collect_list(F.struct(*fields)).alias("rows"))
 
     def work(batch: pa.RecordBatch) -> dict:
@@ -275,21 +326,25 @@ def below(path: str, roots: list[str]) -> bool:
 def main_text(page: str, main: list[str], fixed: list[str]) -> str:
     """The article of a page: text of its slots, blocks in page order joined by one space.
 
-    A page without any of the host's article paths is taken on its own: its article elements, or else all of it
-    that nothing excludes.
+    Of nested slots the innermost counts. Names exclude what is below a slot, not what contains it. A page without
+    any of the host's article paths is taken on its own.
     """
     events = list(walk(page))
     opened = {path for kind, path, _ in events if kind == "open"}
-    known: dict[str, bool] = {}
     roots = [r for r in main if r in opened]
     if not roots:
-        own = [p for p in opened if is_article(p.rpartition(">")[2]) and not excluded(p, known)]
-        roots = own or [""]
+        own = [dict(zip(("most", "size", "linked", "low"), row, strict=True)) | {"path": p} for p, row in summary(page).items() if p]
+        whole = summary(page)[""][1]
+        roots = deduce([r | {"pages": 1, "signature": r["most"], "around": whole, "high": r["low"]} for r in own], 1)[0] or [""]
+    roots = [r for r in roots if not any(q.startswith(r + ">") for q in roots)]
+    known: dict[str, bool] = {}
+    same, lines = [f for f in fixed if "\n" not in f], {f for f in fixed if "\n" in f}
     blocks: list[list[str]] = [[]]
     for kind, path, value in events:
         if kind == "text":
-            if ("" in roots or below(path, roots)) and not excluded(path, known) and not (fixed and below(path, fixed)):
-                blocks[-1].append(html.unescape(value))
+            if ("" in roots or below(path, roots)) and not excluded(path, known) and not (same and below(path, same)):
+                if not lines or mark_of(path, value) not in lines:
+                    blocks[-1].append(html.unescape(value))
         elif kind == "break" or (value if kind == "close" else value.partition(".")[0]) not in INLINE:
             if blocks[-1]:
                 blocks.append([])

@@ -76,3 +76,18 @@ def test_equal_vectors_form_classes():
     row = lambda path, signature, pages=10, **k: {"path": path, "signature": signature, "pages": pages, "most": 1, "size": 0, "linked": 0, "low": 0, "high": 1} | k
     rows = [row("html", 1, size=100), row("html>body", 1, size=100), row("html>body>div", 1, size=90), row("html>body>div>p", 2, most=7, size=90), row("html>body>ul>li", 3, size=9)]
     assert tpl.deduce(rows, 10) == (["html>body>div"], [])
+
+
+def test_constant_text_below_a_named_article_is_template(spark):
+    body = lambda i: f"Body number {i} has quite some text of its own here."
+    page = lambda i: f"<html><body><article><p>{body(i)}</p><div class='x'>Follow us now.</div><p>All rights.</p></article></body></html>"
+    found = texts(spark, [(f"http://n.org/{i}", page(i)) for i in range(6)])
+    assert found == {i: body(i) for i in range(6)}
+
+
+def test_repeated_rows_do_not_cancel(spark):
+    page = "<html><body><div class='r'><p>{} with some words of its own</p></div><div class='q'>Constant words here.</div></body></html>"
+    rows = [(i // 2, f"http://r.org/{i // 2}", page.format(f"Page {i // 2}")) for i in range(8)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    vectors = {r.path.rpartition(">")[2]: r.signature for r in tpl.token_statistics(tpl.host_of(table)).collect()}
+    assert vectors["div.r"] == vectors["div.q"] != 0
