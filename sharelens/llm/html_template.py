@@ -7,7 +7,7 @@ slot that holds the article is found on the way down from the root, along once-p
 text of the pages on which they occur; among nested slots an outermost path called an article is preferred, and an
 article or main element whose text varies is always a slot. Texts of the same class as the slot (or an element around
 it) and slots whose text never changes are template, below a named article too. Elements named as menus, notices,
-adverts, forms, comments and the like are not part of an article.
+adverts, forms, comments and the like are not part of an article unless they contain it.
 
 Occurrence vectors are compared by a signature, the sum of one hash per page and count, so a host of any size is
 summed up by partial aggregation; only template tokens are gathered.
@@ -49,8 +49,9 @@ BOILERPLATE = set(
 ARTICLE = set("article main content post entry story body articlebody postbody entrycontent".split())
 PAGE_HEADER = {"header", "header:banner"}
 SUPPORT, LINKS, MOST = 0.3, 0.5, 0.6
-#: Pages that make a template, the share of a path's pages on which the paths below it must take over.
+#: Pages that make a template, the share of a path's pages on which the paths below it must take over, and names of discussions.
 LEAST, COVER = 3, 0.9
+DISCUSSION = set("comment comments commentlist replies disqus respond".split())
 
 
 def tokens_of(attributes: str) -> list[str]:
@@ -168,6 +169,38 @@ def in_link(path: str) -> bool:
     return ">a" in path and any(p == "a" or p.startswith("a.") for p in path.split(">"))
 
 
+def judged(events: list[tuple[str, str, str]]) -> dict[str, bool]:
+    """Path -> excluded, for the elements whose names would exclude them although they contain the article.
+
+    Such an element holds the page's only article or main element, or most of its text that is not links. Menus,
+    asides, footers and the like are never kept, discussions not for their size.
+    """
+    prose: dict[str, int] = {"": 0}
+    opened: dict[str, int] = {}
+    for event, path, value in events:
+        if event == "open":
+            opened[path] = opened.get(path, 0) + 1
+        elif event == "text" and (size := len("".join(value.split()))) and not in_link(path):
+            prose[""] += size
+            for p in above(path):
+                prose[p] = prose.get(p, 0) + size
+    label = lambda p: p.rpartition(">")[2].partition(".")
+    barred = lambda p: any(label(q)[0] in NOT_ARTICLE - {"form"} for q in above(p))
+    plain: dict[str, bool] = {}
+    articles = [p for p in opened if label(p)[0] in ("article", "main") and prose.get(p) and not barred(p)]
+    kept = set()
+    if not any(not excluded(p, plain) for p in articles):
+        kept.update(above(max((p for p in articles if opened[p] == 1), key=lambda p: (prose[p], p), default="")))
+    for p, size in prose.items():
+        names = set(re.split(r"[.:_-]+", label(p)[2]))
+        if p and size >= MOST * prose[""] and not names & DISCUSSION and not barred(p) and excluded(p, plain):
+            kept.add(p)
+    known: dict[str, bool] = {}
+    for p in sorted(kept, key=lambda p: p.count(">")):
+        known[p] = excluded(p.rpartition(">")[0], known)
+    return known
+
+
 def summary(page: str) -> dict[str, list[int]]:
     """Token -> [occurrences, characters of text below, those in links, hash of the text below]. Excluded parts have none.
 
@@ -175,7 +208,7 @@ def summary(page: str) -> dict[str, list[int]]:
     """
     events = list(walk(page))
     found: dict[str, list[int]] = {"": [1, 0, 0, 0]}
-    known: dict[str, bool] = {}
+    known = judged(events)
     for event, path, value in events:
         if event == "open":
             if not excluded(path, known):
@@ -337,7 +370,8 @@ def main_text(page: str, main: list[str], fixed: list[str]) -> str:
         whole = summary(page)[""][1]
         roots = deduce([r | {"pages": 1, "signature": r["most"], "around": whole, "high": r["low"]} for r in own], 1)[0] or [""]
     roots = [r for r in roots if not any(q.startswith(r + ">") for q in roots)]
-    known: dict[str, bool] = {}
+    known = judged(events)
+    known |= {p: False for r in roots for p in above(r)}
     same, lines = [f for f in fixed if "\n" not in f], {f for f in fixed if "\n" in f}
     blocks: list[list[str]] = [[]]
     for kind, path, value in events:

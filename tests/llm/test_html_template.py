@@ -91,3 +91,14 @@ def test_repeated_rows_do_not_cancel(spark):
     table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     vectors = {r.path.rpartition(">")[2]: r.signature for r in tpl.token_statistics(tpl.host_of(table)).collect()}
     assert vectors["div.r"] == vectors["div.q"] != 0
+
+
+@pytest.mark.parametrize(
+    "outer", ["div class='content-with-sidebar'", "div class='has-sidebar'", "div id='share-page'", "div class='related-layout'", "form"]
+)
+@pytest.mark.parametrize("inner", ["article", "div", "div class='content'"])
+def test_names_do_not_exclude_what_contains_the_article(spark, outer, inner):
+    body = lambda i: f"Body number {i} has quite some text of its own here."
+    page = lambda i: f"<body><{outer}><{inner}><p>{body(i)}</p><div class='share'>Send</div></{inner.split()[0]}></{outer.split()[0]}><div class='menu'>m</div></body>"
+    found = texts(spark, [(f"http://w.org/{i}", page(i)) for i in range(4)])
+    assert found == {i: body(i) for i in range(4)}
