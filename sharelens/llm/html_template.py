@@ -231,6 +231,9 @@ def host_of(pages: DataFrame) -> DataFrame:
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     page = F.col("html").cast("string")
+    shape = F.regexp_replace(F.lower(F.regexp_extract(page, r"(?is)<body[^>]*>\s*(?:<[^>]*>\s*){0,2}", 0)), r"[0-9]+", "0")
+    # pages without a host are many sites: those that begin alike share a template
+    host = F.when(host == "", F.concat(F.lit("?"), F.coalesce(F.md5(shape), F.lit("")))).otherwise(host)
     return pages.select("page_id", "url", host.alias("host"), page.alias("html"))
 
 
@@ -285,7 +288,7 @@ def deduce(rows: list[dict], pages: int) -> tuple[list[str], list[str]]:
     template = {r["path"]: r for r in rows if "\n" not in r["path"]}
     usable = {p: r for p, r in template.items() if r["size"] > 0}
     total = max([r["size"] for r in usable.values()], default=0)
-    around = lambda r: total
+    around = lambda r: r.get("around", total)
     constant = lambda r: r["pages"] >= LEAST and r["low"] == r["high"] and r["size"] < LINKS * around(r)
     dense = lambda r: r["most"] == 1 and r["size"] >= MOST * around(r) and r["linked"] < LINKS * r["size"]
     kids: dict[str, list[str]] = {}
@@ -326,7 +329,7 @@ def deduce(rows: list[dict], pages: int) -> tuple[list[str], list[str]]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """One row per host: ``main`` paths and ``fixed`` tokens. Paths on fewer than SUPPORT of a host's pages are no template.
+    """One row per host: ``main`` paths and ``fixed`` tokens. Paths on fewer than LEAST pages are no template of a host that has more.
 
     Only those texts are gathered whose occurrence vector is that of an element.
     """
@@ -336,7 +339,7 @@ def templates(pages: DataFrame) -> DataFrame:
     vectors = elements.select("host", "pages", "signature").distinct()
     lines = tokens.where(F.col("path").contains("\n")).join(vectors, ["host", "pages", "signature"], "left_semi")
     frequent = elements.unionByName(lines.select(*elements.columns)).join(counts, F.col("host") == F.col("of"))
-    frequent = frequent.where(F.col("pages") >= F.greatest(F.lit(1), F.col("total") * SUPPORT))
+    frequent = frequent.where(F.col("pages") >= F.least(F.lit(LEAST), F.col("total")))
     fields = ("path", "pages", "signature", "most", "size", "linked", "around", "low", "high")
     per_host = frequent.groupBy("host", "total").agg(F.collect_list(F.struct(*fields)).alias("rows"))
 

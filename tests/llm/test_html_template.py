@@ -102,3 +102,12 @@ def test_names_do_not_exclude_what_contains_the_article(spark, outer, inner):
     page = lambda i: f"<body><{outer}><{inner}><p>{body(i)}</p><div class='share'>Send</div></{inner.split()[0]}></{outer.split()[0]}><div class='menu'>m</div></body>"
     found = texts(spark, [(f"http://w.org/{i}", page(i)) for i in range(4)])
     assert found == {i: body(i) for i in range(4)}
+
+
+def test_each_layout_has_its_template(spark):
+    body = lambda i: f"Body number {i} has quite some text of its own here, and a little more."
+    names = ["a"] * 20 + ["b"] * 20 + ["c"] * 4
+    page = lambda i: f"<body><div class='top'><a href='/'>Menu {i}</a> Day {i}</div><div class='{names[i]}'><p>{body(i)}</p><p>{body(i)[::-1]}</p></div></body>"
+    for url in ("http://y.org/{}", None):
+        found = texts(spark, [(url and url.format(i), page(i)) for i in range(44)])
+        assert found == {i: f"{body(i)} {body(i)[::-1]}" for i in range(44)}
