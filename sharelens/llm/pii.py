@@ -2,8 +2,8 @@
 
 All DataFrame functions; texts are read once. Base spans come from the fixed patterns and their checks.
 Generators propose further, overlapping candidates: number-like runs and spelled-out addresses. A
-candidate's format and context are binned, and candidates that the base rules accept on their own text
-are the positive examples. Boosting runs over the counts of the distinct bin combinations, of which
+candidate's format and context are binned; positive examples are those whose text passes a check once its
+signs are normalised, and the bins do not show what that check asks for. Boosting runs over the counts of the distinct bin combinations, of which
 there are at most a few thousand whatever the corpus; its trees are then ordinary column
 expressions. Thresholds are calibrated on a fold that was not trained on: a score is good enough
 where, from it upwards, every group of candidates is positive in at least ``PRECISION`` of cases, by the
@@ -34,9 +34,15 @@ PATTERNS = {
 MARKS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: Candidate generators: number-like runs, and addresses with spelled-out or spaced signs.
 NUMBER_LIKE = r"(?<![0-9A-Za-z])[(]?[0-9][\x20().0-9-]{6,}[0-9](?![0-9A-Za-z])"
-ADDRESS_LIKE = (
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?@\x20?|\x20?[(\x5B]at[)\x5D]\x20?)[A-Za-z0-9-]++"
-    r"(?:(?:\x20?\.\x20?|\x20?[(\x5B]dot[)\x5D]\x20?)[A-Za-z0-9-]++)++"
+AT, DOT = (rf"\x20?[(\x5B](?i:{sign})[)\x5D]\x20?" for sign in ("at", "dot"))
+LABELS = rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?@\x20?|{AT})[A-Za-z0-9-]++"
+ADDRESS_LIKE = rf"{LABELS}(?:(?:\x20?\.\x20?|{DOT})[A-Za-z0-9-]++)++"
+#: The same without points that may end a sentence; may overlap the others.
+ADDRESS_CLOSE = rf"{LABELS}(?:(?:\.|\x20\.\x20|{DOT})[A-Za-z0-9-]++)++"
+#: Last labels of addresses: generic and reserved ones; two lower-case letters are a country's.
+LAST_LABEL = (
+    "(?:com|org|net|edu|gov|mil|int|info|biz|name|pro|aero|coop|museum|jobs|mobi|travel|app|dev|blog|shop|site|online|tech|cloud|email|xyz|"
+    "example|test|invalid|local|[a-z]{2})"
 )
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PRECISION, ROUNDS, RATE, FOLDS = 0.95, 20, 0.3, 5
@@ -108,7 +114,7 @@ def detect(docs: DataFrame) -> DataFrame:
     return (
         out.withColumn("base", F.array_sort(F.concat(*checked)))
         .withColumn("_numbers", matches(text, NUMBER_LIKE, 0, text.rlike("[0-9][\\x20().0-9-]{6}")))
-        .withColumn("_addresses", matches(text, ADDRESS_LIKE, 0, text.rlike("@|[(\\x5B]at[)\\x5D]")))
+        .withColumn("_addresses", F.array_distinct(F.concat(*(matches(text, p, 0, text.rlike("@|[(\\x5B](?i:at)[)\\x5D]")) for p in (ADDRESS_LIKE, ADDRESS_CLOSE)))))
         .withColumn("numbers", with_context("_numbers", text))
         .withColumn("addresses", with_context("_addresses", text))
         .drop(*(f"_{kind}" for kind in KINDS), "_numbers", "_addresses")
@@ -147,22 +153,28 @@ def number_bins(s: Column) -> list[Column]:
 
 
 def address_bins(s: Column) -> list[Column]:
+    found = s["found"]
     return [
-        s["found"].rlike(r"[(\x5B]").cast("int"),
-        s["found"].rlike(r"\x20").cast("int"),
-        F.least(F.size(F.split(s["found"], r"\.")), F.lit(4)),
-        F.char_length(F.regexp_extract(s["found"], "([A-Za-z0-9-]+)$", 1)).between(2, 6).cast("int"),
-        s["found"].rlike("[0-9]").cast("int"),
+        F.when(found.rlike(AT), 3).when(found.contains(" @ "), 2).when(found.rlike(r"\x20@|@\x20"), 1).otherwise(0),
+        F.when(found.rlike(r"[^\x20]\.\x20|\x20\.[^\x20]"), 1).when(found.rlike(DOT), 3).when(found.contains(" . "), 2).otherwise(0),
+        F.least(F.size(F.split(plain_address(found), r"\.")), F.lit(4)),
+        found.rlike("[0-9]").cast("int"),
         F.when(s["word"].isin("mail", "email", "contact", "write"), 1).otherwise(0),
     ]
 
 
+def plain_address(found: Column) -> Column:
+    """An address with its signs as they are in plain ones."""
+    signs = F.regexp_replace(F.regexp_replace(found, AT, "@"), DOT, ".")
+    return F.regexp_replace(signs, r"\x20?([@.])\x20?", "$1")
+
+
 def is_ip(s: Column) -> Column:
-    return accepted("ip", s["found"])
+    return accepted("ip", F.regexp_replace(s["found"], r"[\x20()]*\.[\x20()]*", "."))
 
 
 def is_card(s: Column) -> Column:
-    return accepted("card", s["found"]) & s["found"].rlike(r"^[0-9](?:[\x20-]?[0-9])+$")
+    return accepted("card", s["found"])
 
 
 def is_phone(s: Column) -> Column:
@@ -170,7 +182,7 @@ def is_phone(s: Column) -> Column:
 
 
 def is_email(s: Column) -> Column:
-    return s["found"].rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$")
+    return plain_address(s["found"]).rlike(rf"^[A-Za-z0-9._%+-]+@([A-Za-z0-9-]+\.)+{LAST_LABEL}$")
 
 
 #: kind -> where its candidates are, their bins, and what makes one a positive example
@@ -290,10 +302,12 @@ def learn(detected: DataFrame) -> dict[str, Boosted]:
 
 
 def chosen(kind: str, number: int, model: Boosted) -> Column:
-    """The candidates of a kind that score high enough and overlap no base span, as spans."""
+    """The candidates of a kind that score high enough, as spans; they overlap no base span but those of their kind that they extend."""
     where, bins, _ = LEARNED[kind]
     size = len(bins(F.struct(F.lit("").alias("found"), F.lit("").alias("prior"), F.lit("").alias("word"))))
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    longer = lambda s, b: (s["start"] <= b["start"]) & (b["end"] <= s["end"]) & (b["end"] - b["start"] < s["end"] - s["start"])
+    extends = lambda s, b: (b["kind"] == number) & longer(s, b)
+    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]) & ~extends(s, b))
     scored = F.transform(where, lambda s: F.struct(s.alias("s"), F.array(*bins(s)).alias("b")))
     high = lambda x: model.column([F.get(x["b"], F.lit(i)) for i in range(size)]) >= model.threshold
     span = lambda x: F.struct(
@@ -303,7 +317,7 @@ def chosen(kind: str, number: int, model: Boosted) -> Column:
 
 
 def add_spans(detected: DataFrame, models: dict[str, Boosted]) -> DataFrame:
-    """Adds ``spans``: the base spans and those candidates of each kind that score high and overlap no base span."""
+    """Adds ``spans``: the base spans and those candidates of each kind that ``chosen`` takes."""
     extra = [F.col("base").cast(SPAN)]
     for number, kind in enumerate(KINDS):
         if models[kind].threshold is not None:

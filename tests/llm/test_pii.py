@@ -86,3 +86,20 @@ def test_main_path_is_native(spark):
     docs = spark.createDataFrame([(1, "a@b.org")], "doc_id bigint, text string")
     plan = pii.detect(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_spelled_out_addresses_are_in_spans(spark):
+    signs = ["person{} [at] site [dot] org", "person{} @ site.org", "person{}@site.org", "person{} (AT) mail.site (dot) org"]
+    docs = [(i, f"please mail me: {signs[i % 4].format(i)} today. Lunch @ cafe. Then we go") for i in range(1200)]
+    found = pii.find_pii(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    rows = {r.doc_id: r.s for r in found.select("doc_id", pii.listed(F.col("spans")).alias("s")).collect()}
+    assert rows == {i: f"email:16:{16 + len(signs[i % 4].format(i))}" for i in range(1200)}
+
+
+def test_dotted_cards_and_spaced_ips_are_learned(spark):
+    cards = [f"41111111{i:07d}" for i in range(600)]
+    cards = [c + next(d for d in "0123456789" if luhn(c + d)) for c in cards]
+    texts = [f"card {'.'.join(c[k : k + 4] for k in (0, 4, 8, 12))} ok" for c in cards] + [f"ip 10 . 1 . {i % 256} . 7 ok" for i in range(600)]
+    found = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    rows = {r.doc_id: r.s for r in found.select("doc_id", pii.listed(F.col("spans")).alias("s")).collect()}
+    assert rows == {i: f"card:5:{len(t) - 3}" if i < 600 else f"ip:3:{len(t) - 3}" for i, t in enumerate(texts)}
