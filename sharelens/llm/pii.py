@@ -5,9 +5,10 @@ Generators propose further, overlapping candidates: number-like runs and spelled
 candidate's format and context are binned; positive examples are those whose text passes a check once its
 signs are normalised, and the bins do not show what that check asks for. Boosting runs over the counts of the distinct bin combinations, of which
 there are at most a few thousand whatever the corpus; its trees are then ordinary column
-expressions. Thresholds are calibrated on a fold that was not trained on: a score is good enough
-where, from it upwards, every group of candidates is positive in at least ``PRECISION`` of cases, by the
-lower end of a confidence interval; a corpus with few candidates therefore adds none.
+expressions. Thresholds are calibrated on a fold that was not trained on: groups of equal scores are pooled with
+their neighbours until a higher score never has the smaller share of positives, and a score is good enough
+where its pool, and all candidates from it upwards with half a positive and half a negative added, are
+positive in at least ``PRECISION`` of cases.
 """
 
 from __future__ import annotations
@@ -208,10 +209,9 @@ def cells(detected: DataFrame, kind: str) -> list[tuple[tuple[int, ...], float,
     return sorted((tuple(r["bins"]), r["p"], r["n"], r["cp"], r["cn"]) for r in collect_bounded(grouped, MAX_CELLS, "candidate bins"))
 
 
-def surely(good: float, n: float, z: float = 1.64) -> float:
-    """Lower end of Wilson's interval for a share of ``good`` in ``n``."""
-    share = good / n
-    return (share + z * z / (2 * n) - z * math.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+def smoothed(good: float, n: float) -> float:
+    """The share of ``good`` in ``n`` with half a positive and half a negative added."""
+    return (good + 0.5) / (n + 1)
 
 
 class Boosted:
@@ -267,17 +267,27 @@ class Boosted:
         return found
 
     def _calibrate(self, rows, precision):
-        """The lowest score from which on each group of held-out candidates is surely positive often enough."""
+        """The lowest score of the pools of held-out candidates that are positive often enough."""
         by_score: dict[float, list[float]] = {}
         for bins, _, _, good, n in rows:
             sums = by_score.setdefault(round(self.score(bins), 6), [0.0, 0.0])
             sums[0] += good
             sums[1] += n
+        pools: list[tuple[float, float, float]] = []
         for score in sorted(by_score, reverse=True):
             good, n = by_score[score]
-            if n and surely(good, n) < precision:
+            if not n:
+                continue
+            while pools and good * pools[-1][2] > pools[-1][1] * n:
+                _, more, others = pools.pop()
+                good, n = good + more, n + others
+            pools.append((score, good, n))
+        good = n = 0.0
+        for score, more, others in pools:
+            if more < precision * others:
                 break
-            if n:
+            good, n = good + more, n + others
+            if smoothed(good, n) >= precision:
                 self.threshold = score - 1e-6
 
     def score(self, bins) -> float:

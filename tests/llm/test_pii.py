@@ -103,3 +103,18 @@ def test_dotted_cards_and_spaced_ips_are_learned(spark):
     found = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
     rows = {r.doc_id: r.s for r in found.select("doc_id", pii.listed(F.col("spans")).alias("s")).collect()}
     assert rows == {i: f"card:5:{len(t) - 3}" if i < 600 else f"ip:3:{len(t) - 3}" for i, t in enumerate(texts)}
+
+
+def test_a_small_group_does_not_end_the_calibration():
+    def threshold(*groups):
+        model = object.__new__(pii.Boosted)
+        model.start, model.trees, model.threshold = 0.0, [], None
+        model.score = lambda bins: float(bins[0])
+        model._calibrate([((score,), 0.0, 0.0, float(good), float(n)) for score, good, n in groups], 0.95)
+        return model.threshold and round(model.threshold)
+
+    many = (2, 990_000, 1_000_000)
+    assert threshold((3, 4, 4), many, (1, 10, 1_000)) == 2
+    assert threshold((3, 1, 2), many, (1, 10, 1_000)) == 2
+    assert threshold((3, 12, 12), (2, 5, 10)) == threshold((3, 12_000, 12_000), (2, 5_000, 10_000)) == 3
+    assert threshold((3, 990_000, 1_000_000), (2, 10, 1_000)) == 3
