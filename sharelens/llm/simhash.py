@@ -95,18 +95,20 @@ def bit_counts(hashes: np.ndarray, piece: int = 4096) -> np.ndarray:
     return total
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the fingerprint as a signed long; null and empty texts have zero."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, the fingerprint as a signed long, and further columns as they are; null and empty texts have zero."""
 
     def work(batch: pa.RecordBatch) -> dict:
         prints = []
         for text in batch.column("text"):
             hashes = shingle_hashes(text.as_py())
             prints.append(fingerprint(bit_counts(hashes), len(hashes)))
-        return {"doc_id": batch.column("doc_id"), "fp": np.array(prints, np.uint64).view(np.int64)}
+        kept = {name: batch.column(name) for name in more}
+        return {"doc_id": batch.column("doc_id"), "fp": np.array(prints, np.uint64).view(np.int64)} | kept
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return per_batch(docs.select("doc_id", F.col("text").cast("string")), f"doc_id {kind}, fp bigint", work)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = ", ".join(["doc_id " + kinds["doc_id"], "fp bigint", *(f"{name} {kinds[name]}" for name in more)])
+    return per_batch(docs.select("doc_id", F.col("text").cast("string").alias("text"), *more), schema, work)
 
 
 def masks() -> list[int]:
@@ -248,20 +250,20 @@ def contract(links: DataFrame) -> DataFrame:
         state = after
 
 
-def components(docs: DataFrame) -> DataFrame:
+def components(docs: DataFrame, *more: str) -> DataFrame:
     """One row per document: doc_id, fp (signed), component_id, the smallest id reachable over links.
 
     Null and empty texts share fingerprint zero and are linked like any other. A null id takes part in
     links; it is a component's id only if the component has no other. Repeated rows give repeated
-    rows. An empty table gives an empty result. Other columns are ignored.
+    rows. An empty table gives an empty result. Other columns than those named in ``more`` are ignored.
     """
-    prints = settle(fingerprints(docs))
+    prints = settle(fingerprints(docs, *more))
     distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = contract(near_pairs(distinct.select("fp")))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = settle(rooted.join(smallest, "root").select(F.col("fp").alias("print"), "component_id"))
-    return prints.join(named, F.col("fp") == F.col("print")).select("doc_id", "fp", "component_id")
+    return prints.join(named, F.col("fp") == F.col("print")).select("doc_id", "fp", "component_id", *more)
 
 
 def hex_of(fp: Column) -> Column:
@@ -275,9 +277,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that repeat an id and a text are one document. Rows without an id are kept where the group has
     no id at all, one per text.
     """
-    found = components(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    found = components(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")), "mark")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept"), F.col("mark").alias("what")).distinct()
     each = packed(docs, "doc_id", F.xxhash64("text").alias("mark"))
-    chosen = each.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
+    chosen = each.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")) & (F.col("mark") == F.col("what")), "left_semi")
     turn = F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy(F.lit(0)))
     return unpacked(chosen.withColumn("turn", turn).where("turn = 1"), docs.columns)

@@ -89,3 +89,10 @@ def test_query_like_use(spark):
     rows = {r.doc_id: r for r in simhash.components(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     near = (brute_fingerprint(text) ^ brute_fingerprint(text + " end")).bit_count() <= 3
     assert [rows[i].component_id for i in (5, 3, 7, 8, 6)] == [3, 3, 7, 6, 6] and rows[9].component_id == (3 if near else 9)
+
+
+def test_an_id_with_two_texts_keeps_only_the_chosen_one(spark):
+    one, two = " ".join(f"w{i}" for i in range(400)), " ".join(f"v{i}" for i in range(400))
+    docs = [(5, one), (3, two), (5, two), (7, one), (7, one)]
+    rows = simhash.keep_one(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == [(3, two), (5, one)]
