@@ -246,7 +246,7 @@ def closest_with_gaps(v: Views):
 @query("cluster_hosts")
 def cluster_hosts(v: Views):
     hosts = host_vectors_of(v, None).withColumnRenamed("host", "id")
-    return clusters.cluster_vectors(hosts, clusters=20, micro=100)
+    return clusters.cluster_vectors(hosts, clusters=20)
 
 
 @query("cluster_hosts_kmeans")

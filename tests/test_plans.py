@@ -82,3 +82,13 @@ def test_token_stream_is_counted_in_the_same_stage(spark):
     documents = Views(spark, SF_DIR).documents.selectExpr("lang as cluster", "text as body")
     text = plan(pmi.word_counts(documents, stop_words=["the"]))
     assert text.count("Exchange") == 1 and "partial_count" in text
+
+
+def test_cluster_hosts_uses_the_operators_own_micro(monkeypatch):
+    from sharelens.plans import cluster_queries
+
+    asked = {}
+    monkeypatch.setattr(cluster_queries, "host_vectors_of", lambda v, n: type("T", (), {"withColumnRenamed": lambda self, a, b: self})())
+    monkeypatch.setattr(cluster_queries.clusters, "cluster_vectors", lambda hosts, **how: asked.update(how))
+    cluster_queries.cluster_hosts(None)
+    assert asked == {"clusters": 20}
