@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sharelens.llm import decontaminate, html_template, language, line_dedup, mixing, pii, quality_cnn, quality_rules, simhash, toxicity, warc_zip
+from sharelens.llm import decontaminate, hard_negatives, html_template, language, line_dedup, mixing, pii, quality_cnn, quality_rules, simhash, toxicity, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -98,3 +98,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.drop_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"), "most_copies")
+
+
+@query("op13_hard_negatives", hard_negatives.negatives_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
