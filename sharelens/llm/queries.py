@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sharelens.llm import decontaminate, hard_negatives, html_template, language, line_dedup, mixing, pii, quality_cnn, quality_rules, simhash, toxicity, warc_zip
+from sharelens.llm import decontaminate, hard_negatives, html_template, language, line_dedup, mixing, pii, prefix_trie, quality_cnn, quality_rules, simhash, toxicity, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -103,3 +103,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_hard_negatives", hard_negatives.negatives_sql())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_prefix_trie", prefix_trie.trie_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations")).drop("enter", "exit")
