@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sharelens.functions import text as T
-from sharelens.operators import clusters, pmi, report
+from sharelens.operators import clusters, pmi, report, ward
 from sharelens.plans.registry import query
 from sharelens.plans.vector_queries import host_vectors_of
 from sharelens.plans.views import STOP_WORDS, WIDTH, Views, long_vector, rounded
@@ -243,6 +243,33 @@ def closest_with_gaps(v: Views):
     return rounded(clusters.closest_to_centroid(_odd_vectors(v), centres), "value")
 
 
+_WARD_STEPS = """
+    ward_w(step, a, b, na, nb, cost) AS (
+        SELECT 0, x.host, y.host, 1.0::DOUBLE, 1.0::DOUBLE,
+               (list_inner_product(x.vec, x.vec) + list_inner_product(y.vec, y.vec) - 2 * list_inner_product(x.vec, y.vec)) / 2
+        FROM host_vectors_v x JOIN host_vectors_v y ON x.host < y.host
+        UNION ALL
+        SELECT step + 1, k1, k2, max(n1), max(n2), sum(part) FROM (
+            SELECT step, CASE WHEN k IS NULL THEN a ELSE least(i, k) END AS k1, CASE WHEN k IS NULL THEN b ELSE greatest(i, k) END AS k2,
+                   CASE WHEN k IS NULL THEN na WHEN i < k THEN ni + nj ELSE nk END AS n1, CASE WHEN k IS NULL THEN nb WHEN i < k THEN nk ELSE ni + nj END AS n2,
+                   CASE WHEN k IS NULL THEN cost WHEN i IN (a, b) THEN ((nk + ni) * cost - nk * c) / (nk + ni + nj) ELSE (nk + nj) * cost / (nk + ni + nj) END AS part
+            FROM (SELECT *, CASE WHEN a IN (i, j) THEN b WHEN b IN (i, j) THEN a END AS k, CASE WHEN a IN (i, j) THEN nb ELSE na END AS nk
+                  FROM ward_w, (SELECT a AS i, b AS j, na AS ni, nb AS nj, cost AS c FROM ward_w ORDER BY cost, a, b LIMIT 1)
+                  WHERE NOT (a = i AND b = j))) GROUP BY step, k1, k2)"""
+
+
+@query(
+    "ward_tree",
+    """
+    SELECT a AS low, b AS high, round(cost, 6) + 0.0 AS height, CAST(na + nb AS BIGINT) AS size
+    FROM ward_w QUALIFY row_number() OVER (PARTITION BY step ORDER BY cost, a, b) = 1""",
+    recursive=_WARD_STEPS,
+)
+def ward_tree(v: Views):
+    hosts = host_vectors_of(v).withColumnRenamed("host", "id")
+    return rounded(ward.ward_tree(hosts), "height").select("low", "high", "height", "size")
+
+
 @query("cluster_hosts")
 def cluster_hosts(v: Views):
     hosts = host_vectors_of(v, None).withColumnRenamed("host", "id")

@@ -176,7 +176,7 @@ def test_clusters_of_separated_blobs(spark):
     rows = [(f"{c}-{i}", centres[c] + rng.normal(scale=0.1, size=4)) for c in range(4) for i in range(25)]
     vectors = table(spark, rows)
     for method in ("ward", "kmeans"):
-        found = clusters.cluster_vectors(vectors, 4, micro=20, method=method).collect()
+        found = clusters.cluster_vectors(vectors, 4, method=method).collect()
         labels = {}
         for r in found:
             labels.setdefault(r.id.split("-")[0], set()).add(r.label)
@@ -185,11 +185,6 @@ def test_clusters_of_separated_blobs(spark):
             assert all(len(v) == 1 for v in labels.values()) and len(set.union(*labels.values())) == 4
 
 
-def test_ward_merges_cheapest_pair_first():
-    labels = clusters.ward_merge(np.array([[0.0], [1.0], [10.0], [11.0], [30.0]]), np.ones(5), 3)
-    assert labels[0] == labels[1] and labels[2] == labels[3] and len(set(labels)) == 3
-
-
 def test_centroids_and_closest(spark):
     vectors = spark.createDataFrame(
         [("a", 0, [1.0, 0.0]), ("b", 0, [3.0, 0.0]), ("c", 1, [0.0, 1.0]), ("d", 1, [1.0, 3.0])],
