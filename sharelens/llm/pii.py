@@ -5,10 +5,11 @@ Generators propose further, overlapping candidates: number-like runs and spelled
 candidate's format and context are binned; positive examples are those whose text passes a check once its
 signs are normalised, and the bins do not show what that check asks for. Boosting runs over the counts of the distinct bin combinations, of which
 there are at most a few thousand whatever the corpus; its trees are then ordinary column
-expressions. Thresholds are calibrated on a fold that was not trained on: groups of equal scores are pooled with
-their neighbours until a higher score never has the smaller share of positives, and a score is good enough
-where its pool, and all candidates from it upwards with half a positive and half a negative added, are
-positive in at least ``PRECISION`` of cases.
+expressions. Thresholds are calibrated on candidates of a fold that was not trained on, and only on those that may be added (no base
+span covers them, or they extend one of their kind): groups of equal scores are pooled with their neighbours until a higher
+score never has the smaller share of positives, and a score is good enough where its pool, and all candidates from it upwards,
+are positive in at least ``PRECISION`` of cases. What is added passes the check of its kind as well. Folds go by the
+candidate's text and counts enter as shares, so a text is treated alike in a corpus and in many copies of it.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sharelens.llm.common import fold, packed, text_of, unpacked
+from sharelens.llm.common import packed, text_of, unpacked
 from sharelens.session import collect_bounded, scratch_path, settle
 
 KINDS = ("email", "ip", "card", "phone")
@@ -46,7 +47,7 @@ LAST_LABEL = (
     "example|test|invalid|local|[a-z]{2})"
 )
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-PRECISION, ROUNDS, RATE, FOLDS = 0.95, 20, 0.3, 5
+PRECISION, ROUNDS, RATE, FOLDS, TOTAL = 0.95, 20, 0.3, 5, 10_000
 SPAN = "array<struct<start:int,end:int,kind:int,found:string>>"
 
 
@@ -197,27 +198,35 @@ LEARNED: dict[str, tuple[str, Callable, Callable]] = {
 MAX_CELLS = 9 * 6 * 2**4 * 3 * 4
 
 
+def may_be_added(s: Column, number: int) -> Column:
+    """Whether a candidate overlaps no base span but those of its kind that it extends."""
+    longer = lambda b: (s["start"] <= b["start"]) & (b["end"] <= s["end"]) & (b["end"] - b["start"] < s["end"] - s["start"])
+    return ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]) & ~((b["kind"] == number) & longer(b)))
+
+
 def cells(detected: DataFrame, kind: str) -> list[tuple[tuple[int, ...], float, float, float, float]]:
-    """Counts per bin combination: (bins, trained positives, trained, calibration positives, calibration)."""
+    """Counts per bin combination: (bins, trained positives, trained, calibration positives, calibration).
+
+    Calibration counts candidates that may be added, of the held-out fold.
+    """
     where, bins, positive = LEARNED[kind]
-    each = detected.select(fold(F.col("doc_id"), FOLDS).alias("fold"), F.explode(where).alias("s"))
-    held, good = F.col("fold") == 0, positive(F.col("s"))
+    number = KINDS.index(kind)
+    each = detected.select(F.explode(F.transform(where, lambda s: F.struct(s.alias("s"), may_be_added(s, number).alias("free")))).alias("x")).select("x.s", "x.free")
+    held, good = F.pmod(F.xxhash64("s.found"), F.lit(FOLDS)) == 0, positive(F.col("s"))
     count = lambda cond: F.sum(cond.cast("double"))
     grouped = each.groupBy(F.array(*bins(F.col("s"))).alias("bins")).agg(
-        count(~held & good).alias("p"), count(~held).alias("n"), count(held & good).alias("cp"), count(held).alias("cn")
+        count(~held & good).alias("p"), count(~held).alias("n"), count(held & good & F.col("free")).alias("cp"), count(held & F.col("free")).alias("cn")
     )
     return sorted((tuple(r["bins"]), r["p"], r["n"], r["cp"], r["cn"]) for r in collect_bounded(grouped, MAX_CELLS, "candidate bins"))
 
 
-def smoothed(good: float, n: float) -> float:
-    """The share of ``good`` in ``n`` with half a positive and half a negative added."""
-    return (good + 0.5) / (n + 1)
-
-
 class Boosted:
     """Gradient-boosted two-level trees over binned candidates, fitted to counts, with a calibrated threshold."""
 
     def __init__(self, rows: list, rounds: int = ROUNDS, rate: float = RATE, precision: float = PRECISION):
+        # shares of a fixed total, so the trees do not depend on how often a corpus repeats itself
+        scale = TOTAL / max(1.0, sum(r[2] for r in rows))
+        rows = [(bins, p * scale, n * scale, good, held) for bins, p, n, good, held in rows]
         total, good = sum(r[2] for r in rows), sum(r[1] for r in rows)
         share = (good + 1) / (total + 2)
         self.start = math.log(share / (1 - share))
@@ -287,7 +296,7 @@ class Boosted:
             if more < precision * others:
                 break
             good, n = good + more, n + others
-            if smoothed(good, n) >= precision:
+            if good >= precision * n:
                 self.threshold = score - 1e-6
 
     def score(self, bins) -> float:
@@ -312,12 +321,10 @@ def learn(detected: DataFrame) -> dict[str, Boosted]:
 
 
 def chosen(kind: str, number: int, model: Boosted) -> Column:
-    """The candidates of a kind that score high enough, as spans; they overlap no base span but those of their kind that they extend."""
-    where, bins, _ = LEARNED[kind]
+    """The candidates of a kind that may be added, pass its check and score high enough, as spans."""
+    where, bins, positive = LEARNED[kind]
     size = len(bins(F.struct(F.lit("").alias("found"), F.lit("").alias("prior"), F.lit("").alias("word"))))
-    longer = lambda s, b: (s["start"] <= b["start"]) & (b["end"] <= s["end"]) & (b["end"] - b["start"] < s["end"] - s["start"])
-    extends = lambda s, b: (b["kind"] == number) & longer(s, b)
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]) & ~extends(s, b))
+    free = lambda s: may_be_added(s, number) & positive(s)
     scored = F.transform(where, lambda s: F.struct(s.alias("s"), F.array(*bins(s)).alias("b")))
     high = lambda x: model.column([F.get(x["b"], F.lit(i)) for i in range(size)]) >= model.threshold
     span = lambda x: F.struct(
@@ -349,8 +356,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, base (spans by start, kind), spans (with those the trees add).
 
     Spans are (start, end, kind) in code points, end exclusive. Null and empty texts have none. Repeated
-    rows get equal spans; rows without an id are never in the calibration fold. Without any positive
-    example a kind adds nothing. An empty table gives an empty result. Other columns are ignored.
+    rows get equal spans. Without a positive example among the candidates that may be added a kind adds
+    nothing. An empty table gives an empty result. Other columns are ignored.
     """
     detected = settle(detect(docs.select("doc_id", "text")).drop("text"))
     return add_spans(detected, learn(detected))
@@ -359,7 +366,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets, same columns; overlapping spans become one.
 
-    ``n_chars``, if there is such a column, follows a changed text.
+    Null and empty texts stay as they are. ``n_chars``, if there is such a column, follows a changed text.
     """
     spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "pii")
     detect(packed(docs, "doc_id", "text")).write.parquet(path)

@@ -25,6 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sharelens.llm.common import small
 from sharelens.session import scratch_path, settle
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.tsv"
@@ -189,7 +190,7 @@ def with_roles(pages: DataFrame, least_bytes: int) -> DataFrame:
         .where("n > 1")
         .select("of", "first")
     )
-    several = settle(several)
+    several = small(settle(several), 200_000)  # a digest and an id each, about 20 MB
     revisit = F.col("of").isNotNull() & ~F.col("page").eqNullSafe(F.col("first"))
     return plain.join(several, F.col("sha1") == F.col("of"), "left").select(
         "page",
@@ -238,11 +239,12 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
     return settle(with_roles(pages, least_bytes).mapInArrow(run, "path string, records bigint, bytes bigint"))
 
 
-def read_records(archives: DataFrame, folder: str, piece: int = 500) -> DataFrame:
+def read_records(archives: DataFrame, folder: str, piece: int = 500, task_bytes: int = 64 << 20) -> DataFrame:
     """Reads archives back: page, payload_bytes (null for revisits), payload_digest, record_type, refers_to.
 
-    First the indexes are located and cut into pieces of ``piece`` records, then the pieces are dealt
-    over the executors, so that a large archive is read by many tasks.
+    First the indexes are located and cut into pieces of at most ``piece`` records and an eighth of ``task_bytes``, then the pieces
+    are dealt over as many tasks as the archives' bytes ask for, at least one a core. The number is given, so it is not cut down
+    because the rows of offsets are few and short.
     """
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +256,13 @@ def read_records(archives: DataFrame, folder: str, piece: int = 500) -> DataFram
                     (data, _), (at, size) = members[DATA], members[INDEX]
                     file.seek(at)
                     lines = [tuple(map(int, line.split("\t")[:2])) for line in file.read(size).decode().split("\n")[:-1]]
-                pieces = [lines[i : i + piece] for i in range(0, len(lines), piece)]
+                pieces, full = [], 0
+                for line in lines:
+                    if not pieces or len(pieces[-1]) >= piece or full + line[1] > task_bytes // 8:
+                        pieces.append([])
+                        full = 0
+                    pieces[-1].append(line)
+                    full += line[1]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "path": [path] * len(pieces),
@@ -287,7 +295,9 @@ def read_records(archives: DataFrame, folder: str, piece: int = 500) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
     pieces = archives.select("path").mapInArrow(locate, "path string, start bigint, sizes array<int>")
-    dealt = settle(pieces).repartition(F.col("path"), F.col("start"))
+    located = settle(pieces)
+    total = located.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda t, x: t + x))).first()[0] or 0
+    dealt = located.repartition(max(archives.sparkSession.sparkContext.defaultParallelism, -(-total // task_bytes)))
     return dealt.mapInArrow(fetch, "page string, payload_bytes bigint, payload_digest string, record_type string, refers_to string")
 
 

@@ -63,7 +63,9 @@ def test_boosting_separates_and_calibrates():
     high, low = model.score((1, 1)), max(model.score((0, 1)), model.score((1, 0)), model.score((0, 0)))
     assert high > 0 > low and low < model.threshold <= high
     assert pii.Boosted([((0,), 0.0, 10.0, 0.0, 5.0)]).threshold is None
-    assert pii.Boosted([((0,), 3.0, 3.0, 2.0, 2.0)]).threshold is None  # too few to be sure
+    assert pii.Boosted([((0,), 3.0, 3.0, 0.0, 0.0)]).threshold is None  # nothing to calibrate on
+    small, large = (pii.Boosted([(b, p * k, n * k, cp * k, cn * k) for b, p, n, cp, cn in rows]) for k in (1, 1000))
+    assert abs(small.threshold - large.threshold) < 1e-6
 
 
 def test_spelled_out_addresses_are_learned(spark):
@@ -118,3 +120,35 @@ def test_a_small_group_does_not_end_the_calibration():
     assert threshold((3, 1, 2), many, (1, 10, 1_000)) == 2
     assert threshold((3, 12, 12), (2, 5, 10)) == threshold((3, 12_000, 12_000), (2, 5_000, 10_000)) == 3
     assert threshold((3, 990_000, 1_000_000), (2, 10, 1_000)) == 3
+
+
+PLAIN = [f"{5_731_080_387_000_000 + 977 * i}" for i in range(800)]
+
+
+def plain_and_cards():
+    plain = [p for p in PLAIN if not luhn(p)][:500]
+    stems = [f"41111111{i:07d}" for i in range(50)]
+    cards = [c + next(d for d in "0123456789" if luhn(c + d)) for c in stems]
+    return [f"number {p} here" for p in plain], [f"card {c} ok" for c in cards]
+
+
+def test_plain_numbers_are_no_cards_at_any_size(spark):
+    plain, cards = plain_and_cards()
+    for texts in (plain[:6] + cards[:4], plain[:70] + cards[:30], plain + cards, (plain + cards) * 18):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        found = pii.find_pii(docs).where(F.size("spans") > F.size("base"))
+        assert found.count() == 0
+
+
+def test_a_corpus_and_its_copies_are_treated_alike(spark):
+    plain, cards = plain_and_cards()
+    dotted = [f"card {'.'.join(c[5 + k : 9 + k] for k in (0, 4, 8, 12))} ok" for c in cards]
+    spelled = [f"mail person{i} [at] site [dot] org" for i in range(40)]
+    corpus = plain[:40] + cards[:10] + dotted[:20] + spelled
+    results = []
+    for copies in (1, 10, 100):
+        docs = spark.createDataFrame([(i + 1000 * k, t) for k in range(copies) for i, t in enumerate(corpus)], "doc_id bigint, text string")
+        found = pii.find_pii(docs).select((F.col("doc_id") % 1000).alias("i"), pii.listed(F.col("spans")).alias("s")).distinct().collect()
+        results.append(sorted(tuple(r) for r in found))
+    assert len(results[0]) == len(corpus) and results[0] == results[1] == results[2]
+    assert sum("email" in s for _, s in results[0]) == 40

@@ -98,6 +98,8 @@ def test_many_archives_and_pieces(spark, tmp_path):
     assert archives.count() > 5 and archives.agg(F.sum("records")).first()[0] == 500
     records = warc_zip.read_records(archives, folder, piece=7).collect()
     assert sorted(int(r.page) for r in records) == list(range(500))
+    size = archives.agg(F.sum("bytes")).first()[0]
+    assert warc_zip.read_records(archives, folder, task_bytes=2000).rdd.getNumPartitions() >= size // 4000 > 8
     path = archives.first().path
     with zipfile.ZipFile(path) as z:
         data = z.read(warc_zip.DATA)
