@@ -60,56 +60,48 @@ def seed_similarity(pairs: DataFrame, vectors: DataFrame, seeds: Seeds) -> DataF
     )
 
 
-def _pick_disjoint(edges: DataFrame, seeds: Seeds, size: int, compat: bool, prefix: int, group: int = 50):
-    """Best edges per dimension, each community at most once.
-
-    Every round takes the best edges that touch no banned community, for up to ``group`` dimensions at a time and
-    at most ``prefix`` edges or 50 for each direction still to be picked, picks greedily among them, and
-    bans what was picked. A round picks at least one edge per dimension that has any, and a skipped edge
-    touches a banned community, so the result is that of one walk over all edges. What reaches the driver
-    at once is bounded by ``group * prefix`` rows, whatever the number of dimensions.
+def pick_disjoint(edges: DataFrame, taken: DataFrame, wanted: DataFrame, compat: bool = False) -> DataFrame:
+    """``dim, c1, c2, place``: the edges that one walk from the most similar edge down would pick, each community at most once per dimension.
+
+    ``edges`` are ``dim, c1, c2, similarity``, ``taken`` the communities (``dim, node``) that no edge may touch, ``wanted`` the number of picks
+    (``dim, n``). An edge that is the best one at both of its ends is picked by the walk whatever happens elsewhere; so all of those are
+    picked at once, edges that touch them go, and the rest is looked at again. Edges worse than a dimension's n-th pick go too, since
+    picks are never undone. No edge leaves the executors, and all dimensions share the rounds.
     """
-    picks = {name: [] for name in seeds}
-    banned = {name: {c for pair in pairs for c in pair} for name, pairs in seeds.items()}
+    order = F.struct((-F.col("similarity")).alias("s"), "c1", "c2")
+    left = edges.where("c1 <> c2").select("dim", "c1", "c2", order.alias("o"))
     if compat:
-        last = Window.partitionBy("dim").orderBy("similarity", "c1", "c2")
-        worst = edges.withColumn("r", F.row_number().over(last)).where("r = 1")
-        for row in collect_bounded(worst, len(seeds), "last edges"):
-            banned[row["dim"]].update((row["c1"], row["c2"]))
-    open_dims = {n for n, pairs in seeds.items() if len(pairs) < size}
-    ranked = Window.partitionBy("dim").orderBy(F.desc("similarity"), "c1", "c2")
-    while open_dims:
-        now = sorted(open_dims)[:group]
-        wanted = max(size - len(seeds[name]) - len(picks[name]) for name in now)
-        most = min(prefix, 50 * wanted)
-        free = F.lit(False)
-        for name in now:
-            names = sorted(banned[name])
-            free = free | (
-                (F.col("dim") == name) & ~F.col("c1").isin(names) & ~F.col("c2").isin(names)
-            )
-        best = edges.where(free).withColumn("r", F.row_number().over(ranked)).where(f"r <= {most}")
-        rows = collect_bounded(best.orderBy("dim", "r"), most * len(now), "edges")
-        seen = {name: 0 for name in now}
-        for row in rows:
-            name, ends = row["dim"], (row["c1"], row["c2"])
-            seen[name] += 1
-            if len(seeds[name]) + len(picks[name]) < size and banned[name].isdisjoint(ends):
-                picks[name].append(ends)
-                banned[name].update(ends)
-        done = {n for n in now if len(seeds[n]) + len(picks[n]) >= size or seen[n] < most}
-        open_dims -= done
-    return picks
+        worst = edges.groupBy("dim").agg(F.min(F.struct("similarity", "c1", "c2")).alias("w"))
+        last = worst.select("dim", F.explode(F.array("w.c1", "w.c2")).alias("node"))
+        taken = taken.select("dim", "node").union(last)
+    wanted = hint_small(settle(wanted.where("n > 0").select(F.col("dim").alias("_d"), "n")))
+    left = left.join(wanted, F.col("dim") == F.col("_d"), "left_semi")
+    gone, picked = settle(taken.select("dim", "node").distinct()), None
+    while True:
+        side = hint_small(gone.select(F.col("dim").alias("_d"), F.col("node").alias("_n")))
+        for end in ("c1", "c2"):
+            left = left.join(side, (F.col("dim") == F.col("_d")) & (F.col(end) == F.col("_n")), "left_anti")
+        if picked is not None:
+            full = picked.join(wanted, F.col("dim") == F.col("_d")).where("place = n").select(F.col("dim").alias("_d"), F.col("o").alias("_o"))
+            left = left.join(hint_small(settle(full)), F.col("dim") == F.col("_d"), "left").where("_o is null or o < _o").select("dim", "c1", "c2", "o")
+        left = settle(left)
+        if left.isEmpty():
+            break
+        ends = left.select("dim", F.explode(F.array("c1", "c2")).alias("node"), "o")
+        best = ends.groupBy("dim", "node").agg(F.min("o").alias("o"))
+        now = settle(best.groupBy("dim", "o").count().where("count = 2").select("dim", "o"))
+        every = now if picked is None else now.union(picked.select("dim", "o"))
+        first = every.withColumn("place", F.row_number().over(Window.partitionBy("dim").orderBy("o")))
+        # no more picks than wanted are kept, so what is ranked stays small
+        limit = first.join(wanted, F.col("dim") == F.col("_d")).where("place <= n").select("dim", "o", "place")
+        picked, gone = settle(limit), now.select("dim", F.explode(F.array("o.c1", "o.c2")).alias("node"))
+    if picked is None:
+        return left.select("dim", "c1", "c2", F.lit(0).alias("place"))
+    return picked.select("dim", "o.c1", "o.c2", "place")
 
 
 def dimensions_from_seeds(
-    vectors: DataFrame,
-    seeds: Seeds,
-    pairs: DataFrame | None = None,
-    k: int = 10,
-    size: int = 10,
-    compat: bool = False,
-    prefix: int = 2_000,
+    vectors: DataFrame, seeds: Seeds, pairs: DataFrame | None = None, k: int = 10, size: int = 10, compat: bool = False
 ) -> DataFrame:
     """Seed directions plus the most similar disjoint neighbour directions, summed.
 
@@ -118,32 +110,25 @@ def dimensions_from_seeds(
     """
     if pairs is None:
         pairs = nearest_neighbours(vectors, k)
-    edges = settle(seed_similarity(pairs, vectors, seeds))
-    picks = _pick_disjoint(edges, seeds, size, compat, prefix)
-
     spark = vectors.sparkSession
-    chosen = {n: [*seeds[n], *picks[n]][:size] for n in seeds}
-    members = [
-        (name, end, sign)
-        for name, found in chosen.items()
-        for l, r in found
-        for end, sign in ((l, -1.0), (r, 1.0))
-    ]
-    table = spark.createDataFrame(members, "name string, id string, sign double")
-    # at most two rows per direction, so this side is small by construction
-    joined = vectors.join(F.broadcast(table), "id")
+    edges = settle(seed_similarity(pairs, vectors, seeds))
+    # the seeds are the caller's own list
+    given = spark.createDataFrame([(n, i, l, r) for n, found in seeds.items() for i, (l, r) in enumerate(found)], "dim string, place int, c1 string, c2 string")
+    taken = given.select("dim", F.explode(F.array("c1", "c2")).alias("node"))
+    wanted = spark.createDataFrame([(n, size - len(found)) for n, found in seeds.items()], "dim string, n int")
+    picks = pick_disjoint(edges, taken, wanted, compat)
+    chosen = given.where(F.col("place") < size).select("dim", F.lit(0).alias("part"), "place", "c1", "c2")
+    chosen = settle(chosen.union(picks.select("dim", F.lit(1).alias("part"), "place", "c1", "c2")))
+    # two rows per direction
+    ends = chosen.select(F.col("dim").alias("name"), F.explode(F.array(F.struct(F.col("c1").alias("id"), F.lit(-1.0).alias("sign")), F.struct(F.col("c2").alias("id"), F.lit(1.0).alias("sign")))).alias("e"))
+    joined = vectors.join(hint_small(settle(ends.select("name", "e.id", "e.sign"))), "id")
     sums = vector_sums(joined, ["name"], vector_width(vectors), weight=F.col("sign"))
-    labels = spark.createDataFrame(
-        [
-            (n, [tuple(s) for s in seeds[n]], [l for l, _ in chosen[n]], [r for _, r in chosen[n]])
-            for n in seeds
-        ],
-        "name string, seeds array<struct<l:string,r:string>>, "
-        "left_comms array<string>, right_comms array<string>",
-    )
-    return sums.join(F.broadcast(labels), "name").select(
-        "name", "seeds", "vec", "left_comms", "right_comms"
+    listed = chosen.groupBy(F.col("dim").alias("name")).agg(F.array_sort(F.collect_list(F.struct("part", "place", "c1", "c2"))).alias("all"))
+    kept = F.transform(F.filter("all", lambda x: x["part"] == 0), lambda x: F.struct(x["c1"].alias("l"), x["c2"].alias("r")))
+    labels = listed.select(
+        "name", kept.alias("seeds"), F.transform("all", lambda x: x["c1"]).alias("left_comms"), F.transform("all", lambda x: x["c2"]).alias("right_comms")
     )
+    return sums.join(labels, "name").select("name", "seeds", "vec", "left_comms", "right_comms")
 
 
 def rename_stored(stored: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sharelens.operators import stats
+from sharelens.operators import asof, stats
 from sharelens.operators.positions import exact_quantile
 from sharelens.plans.registry import query
 from sharelens.session import settle
@@ -215,6 +215,21 @@ def exemplars_asof(v: Views):
     return rounded(stats.exemplars(v.scores()), "threshold", "score")
 
 
+@query(
+    "next_submission",
+    """
+    SELECT l_orderkey, l_linenumber, l_partkey, o_orderkey, CAST(o_orderdate AS DATE) AS next_date
+    FROM lineitem ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2)
+    ON l_suppkey = o_custkey AND l_shipdate <= o_orderdate""",
+)
+def next_submission(v: Views):
+    """For every comment the first submission of the same number at or after it."""
+    lines = v.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("k"), "l_shipdate")
+    orders = v.orders.select(F.col("o_custkey").alias("k"), "o_orderdate", "o_orderkey")
+    found = asof.asof_join(lines, orders, ["k"], "l_shipdate", "o_orderdate", ["o_orderkey"])
+    return found.select("l.l_orderkey", "l.l_linenumber", "l.l_partkey", "r.o_orderkey", F.to_date("r.o_orderdate").alias("next_date"))
+
+
 @query(
     "top_bottom",
     """

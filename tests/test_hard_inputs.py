@@ -76,13 +76,22 @@ def test_many_dimensions(spark):
     assert stats.percentiles(scores).where("pctl = 0").count() == 1500
 
 
-def test_walk_in_groups_equals_one_walk(spark):
+def test_picks_in_rounds_equal_one_walk(spark):
     rng = random.Random(4)
-    rows = [(f"d{i}", f"c{rng.randint(0, 40)}", f"e{rng.randint(0, 40)}", round(rng.random(), 3)) for i in range(5) for _ in range(200)]
-    edges = spark.createDataFrame(rows, "dim string, c1 string, c2 string, similarity double").dropDuplicates(["dim", "c1", "c2"])
-    seeds = {f"d{i}": [("s", "t")] for i in range(5)}
-    whole = dimensions._pick_disjoint(edges, seeds, 10, False, 2000)
-    assert whole == dimensions._pick_disjoint(edges, seeds, 10, False, 3, group=2)
+    rows = {(f"d{i}", f"c{rng.randint(0, 40)}", f"c{rng.randint(0, 40)}"): round(rng.random(), 2) for i in range(30) for _ in range(200)}
+    edges = spark.createDataFrame([(*k, s) for k, s in rows.items()], "dim string, c1 string, c2 string, similarity double")
+    taken = spark.createDataFrame([(f"d{i}", f"c{j}") for i in range(30) for j in (1, i)], "dim string, node string")
+    wanted = spark.createDataFrame([(f"d{i}", i % 13) for i in range(30)], "dim string, n int")
+    want = []
+    for i in range(30):
+        used, found = {"c1", f"c{i}"}, 0
+        for (_, a, b), _ in sorted(((k, s) for k, s in rows.items() if k[0] == f"d{i}"), key=lambda e: (-e[1], e[0])):
+            if found < i % 13 and a != b and a not in used and b not in used:
+                used |= {a, b}
+                found += 1
+                want.append((f"d{i}", a, b, found))
+    assert sorted(map(tuple, dimensions.pick_disjoint(edges, taken, wanted).collect())) == sorted(want)
+    assert dimensions.pick_disjoint(edges.where("false"), taken, wanted).count() == 0
 
 
 def test_neighbours_use_several_blocks(spark):

@@ -115,14 +115,14 @@ def greedy(vectors, pairs, seeds, size, compat=False):
     return picked
 
 
-@pytest.mark.parametrize("prefix, compat", [(2000, False), (3, False), (1, True)])
-def test_dimensions_equal_a_full_walk(spark, prefix, compat):
+@pytest.mark.parametrize("compat", [False, True])
+def test_dimensions_equal_a_full_walk(spark, compat):
     vectors, x = random_vectors(spark, 60, seed=4)
     known = {f"v{i:03d}": row for i, row in enumerate(x)}
     pairs = neighbours.nearest_neighbours(vectors, 6)
     edges = [(r.c1, r.c2) for r in pairs.collect()]
     seeds = {"one": [("v000", "v001")], "two": [("v002", "v003"), ("v004", "v005")]}
-    built = dimensions.dimensions_from_seeds(vectors, seeds, pairs, size=7, compat=compat, prefix=prefix)
+    built = dimensions.dimensions_from_seeds(vectors, seeds, pairs, size=7, compat=compat)
     for row in built.collect():
         expected = greedy(known, edges, seeds[row.name], 7, compat)
         assert list(zip(row.left_comms, row.right_comms)) == expected
@@ -137,7 +137,7 @@ def test_hub_community_is_used_once(spark):
     vectors = table(spark, [("l", [0, 0]), ("r", [1, 0]), ("hub", [0, 1])] + [(f"x{i}", [i, i % 2]) for i in range(30)])
     edges = [("hub", f"x{i}") for i in range(30)] + [("x1", "x2"), ("x3", "x4")]
     pairs = spark.createDataFrame(edges, "c1 string, c2 string")
-    built = dimensions.dimensions_from_seeds(vectors, {"d": [("l", "r")]}, pairs, size=10, prefix=4).first()
+    built = dimensions.dimensions_from_seeds(vectors, {"d": [("l", "r")]}, pairs, size=10).first()
     assert list(zip(built.left_comms, built.right_comms)) == [("l", "r"), ("hub", "x29"), ("x1", "x2"), ("x3", "x4")]
 
 
