@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sharelens.functions.vectors import difference, unit
+from sharelens.session import collect_bounded, settle
 
 _DIGITS = 12  # similarities equal to this precision are ties, broken by id
+#: Bounds of what every task gets of a metric index: pivots, and a few numbers a block.
+MAX_PIVOTS, MAX_BLOCKS = 4096, 1_000_000
 _STRIP = 512  # rows multiplied at a time inside a task
 
 
@@ -102,6 +105,102 @@ def nearest_neighbours(
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+class Balls:
+    """Unit vectors dealt into balls, as blocks for :func:`pruned_neighbours`.
+
+    Pivots are the vectors with the smallest hashes, a bounded number that every task gets; a vector belongs to its nearest pivot. Balls with
+    more than ``block_rows`` rows are cut into several blocks. ``packed`` has one row a block (block, ids, flat, reach), ``own`` the k best of
+    every id inside its block, and ``asks`` the pairs (block, other) of blocks that may hold a better one: by the triangle
+    inequality two vectors are at least the angle of their pivots less both radii apart, and ``reach`` is the angle of an id's k-th best.
+    """
+
+    def __init__(self, vectors: DataFrame, k: int, block_rows: int, pivots: int | None = None):
+        units = settle(vectors.select("id", unit("vec").alias("vec")).where(F.col("vec").isNotNull()))
+        n = units.count()
+        pivots = min(MAX_PIVOTS, pivots or max(1, math.ceil(2 * n / block_rows)))
+        middle = np.array([r["vec"] for r in units.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()], dtype=float)
+
+        def assign(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    near = _matrix(pa.Table.from_batches([batch])) @ middle.T
+                    best = near.argmax(axis=1)
+                    angle = np.arccos(np.clip(near[np.arange(len(best)), best], -1, 1))
+                    yield pa.record_batch([*batch.columns, pa.array(best.astype(np.int32)), pa.array(angle)], ["id", "vec", "pivot", "angle"])
+
+        assigned = settle(units.mapInArrow(assign, "id string, vec array<double>, pivot int, angle double"))
+        parts = assigned.groupBy(F.col("pivot").alias("_p")).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("parts"))
+        salted = assigned.join(F.broadcast(parts), F.col("pivot") == F.col("_p"))  # one row a pivot
+        block = (F.col("pivot") * F.lit(1 << 32) + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")
+        grouped = salted.groupBy(block).agg(F.max("angle").alias("radius"), F.sort_array(F.collect_list(F.struct("id", "vec"))).alias("rows"))
+        grouped = grouped.select("block", "radius", F.transform("rows", lambda r: r["id"]).alias("ids"), F.flatten(F.transform("rows", lambda r: r["vec"])).alias("flat"))
+
+        def inside(batches):
+            for batch in batches:
+                for block, radius, ids, flat in zip(*batch.columns, strict=True):
+                    names, x = ids.values, flat.values.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                    found = list(_against(names, x, names, x, k, True)) if len(names) > 1 else []
+                    c1, c2, value = (pa.concat_arrays([f[i] for f in found]) if found else names[:0] for i in range(3))
+                    reach = np.full(len(names), np.pi)
+                    if len(names) > k:
+                        sims = value.to_numpy(zero_copy_only=False).reshape(len(names), k)
+                        reach = np.arccos(np.clip(sims.min(axis=1), -1, 1))
+                    columns = [pa.array([v], t) for v, t in ((block.as_py(), pa.int64()), (radius.as_py(), pa.float64()))]
+                    lists = [names, flat.values, pa.array(reach), c1, c2, value.cast(pa.float64()) if found else pa.array([], pa.float64())]
+                    columns += [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in lists]
+                    yield pa.RecordBatch.from_arrays(columns, ["block", "radius", "ids", "flat", "reach", "c1", "c2", "similarity"])
+
+        schema = "block bigint, radius double, ids array<string>, flat array<double>, reach array<double>, c1 array<string>, c2 array<string>, similarity array<double>"
+        self.packed = settle(grouped.mapInArrow(inside, schema))
+        one = F.explode(F.arrays_zip("c1", "c2", "similarity")).alias("x")
+        self.own = self.packed.select(one).select("x.c1", "x.c2", "x.similarity")
+        found = collect_bounded(self.packed.select("block", "radius", F.array_max("reach").alias("reach")).orderBy("block"), MAX_BLOCKS, "blocks")
+        blocks, radius, reach = (np.array([r[c] for r in found]) for c in ("block", "radius", "reach"))
+        self.blocks = len(blocks)
+
+        def partners(batches):
+            for batch in batches:
+                for block in batch.column("block").to_pylist():
+                    i = int(np.searchsorted(blocks, block))
+                    apart = np.arccos(np.clip(middle[blocks >> 32] @ middle[block >> 32], -1, 1)) - radius - radius[i]
+                    near = np.flatnonzero((apart <= reach[i] + 1e-6) & (blocks != block))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(near), block)), pa.array(blocks[near]), pa.array(apart[near])], ["block", "other", "apart"]
+                    )
+
+        self.asks = self.packed.select("block").mapInArrow(partners, "block bigint, other bigint, apart double")
+
+
+def pruned_neighbours(vectors: DataFrame, k: int = 10, block_rows: int = 4096, pivots: int | None = None) -> DataFrame:
+    """The rows of :func:`nearest_neighbours`, without the block pairs that cannot hold a better neighbour.
+
+    Exact: a pair of blocks is left out only where the triangle inequality on angles rules it out, and within a pair only ids whose k-th best
+    is farther than the blocks are apart are multiplied. What is saved depends on how clustered the vectors are; without clusters
+    every pair is looked at from both sides, and ``nearest_neighbours`` does half the work. A task holds two blocks.
+    """
+    balls = Balls(vectors, k, block_rows, pivots)
+    asks = settle(balls.asks)
+    left = asks.join(balls.packed.select("block", "ids", "flat", "reach"), "block")
+    fresh = asks.select(F.col("block").alias("of"), F.col("other").alias("at"))
+    right = fresh.join(balls.packed.select(F.col("block").alias("at"), F.col("ids").alias("names"), F.col("flat").alias("values")), "at")
+    schema = pa.schema([("c1", pa.string()), ("c2", pa.string()), ("similarity", pa.float64())])
+
+    def opened(table, ids, flat):
+        ids = table[ids].chunk(0)[0].values
+        return ids, table[flat].chunk(0)[0].values.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+
+    def meet(one: pa.Table, two: pa.Table) -> pa.Table:
+        ids, x = opened(one, "ids", "flat")
+        others, y = opened(two, "names", "values")
+        open_ids = np.flatnonzero(one["reach"].chunk(0)[0].values.to_numpy(zero_copy_only=False) + 1e-6 >= one["apart"][0].as_py())
+        parts = _against(ids.take(pa.array(open_ids)), x[open_ids], others, y, k, False)
+        return pa.Table.from_batches([pa.record_batch(list(p), schema=schema) for p in parts], schema=schema)
+
+    met = left.groupBy("block", "other").cogroup(right.groupBy("of", "at")).applyInArrow(meet, "c1 string, c2 string, similarity double")
+    best = Window.partitionBy("c1").orderBy(F.desc("similarity"), "c2")
+    return balls.own.union(met).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def directions(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """Edge vectors ``c1, c2, dvec`` with ``dvec = vec(c2) - vec(c1)``."""
     ends = vectors.select("id", "vec")

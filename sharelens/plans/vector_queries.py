@@ -105,6 +105,12 @@ def knn_pairs(v: Views):
     return rounded(pairs.select("c1", "c2", "rank", "similarity"), "similarity")
 
 
+@query("knn_pruned", "SELECT c1, c2, rank, round(similarity, 6) + 0.0 AS similarity FROM knn_v")
+def knn_pruned(v: Views):
+    pairs = neighbours.pruned_neighbours(v.vectors(), 10)
+    return rounded(pairs.select("c1", "c2", "rank", "similarity"), "similarity")
+
+
 @query(
     "directions",
     """
