@@ -3,8 +3,9 @@
 The kernel of two texts counts the 1- to 3-grams that occur in both (blended spectrum, presence only),
 divided by the geometric mean of their numbers of distinct n-grams. Nyström landmarks, some texts of
 each language, turn it into a finite map; kernel ridge regression, one language against the rest, is
-solved in that map. Scoring a batch is two matrix products: presence of the landmarks' n-grams times
-the landmarks' presence, then times the projected weights.
+solved in that map. Scoring a batch is a matrix product per language, presence of the n-grams of its landmarks times
+the landmarks' presence, and one of all kernel values with the projected weights. Each language keeps the n-grams of its
+own landmarks only, so a model grows in proportion to its landmarks.
 """
 
 from __future__ import annotations
@@ -64,16 +65,21 @@ class Model:
 
     def __init__(self, languages: list[str], examples: list[np.ndarray], labels: np.ndarray, landmarks: np.ndarray, ridge: float):
         self.languages = languages
-        self._grams = self._column = None
+        self._grams = None
         if not languages:
             return
         chosen = [examples[i] for i in landmarks]
-        self.vocabulary = np.unique(np.concatenate(chosen))
         self.sizes = np.array([max(1, len(c)) for c in chosen], np.float32)
-        presence = np.zeros((len(chosen), len(self.vocabulary)), np.float32)
-        for row, codes in enumerate(chosen):
-            presence[row, np.searchsorted(self.vocabulary, codes)] = 1
-        self.presence = presence.T.astype(np.uint8)
+        # one block a language: (its first landmark, sorted n-grams, presence of each in its landmarks)
+        self.blocks: list[tuple[int, np.ndarray, np.ndarray]] = []
+        of = labels[landmarks]
+        for first in np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))).tolist():
+            own = [chosen[i] for i in range(first, len(chosen)) if of[i] == of[first]]
+            vocabulary = np.unique(np.concatenate(own))
+            presence = np.zeros((len(vocabulary), len(own)), np.uint8)
+            for column, codes in enumerate(own):
+                presence[np.searchsorted(vocabulary, codes), column] = 1
+            self.blocks.append((first, vocabulary, presence))
         among = self.kernel(chosen).astype(np.float64)
         values, vectors = np.linalg.eigh((among + among.T) / 2)
         keep = values > 1e-6 * values.max()
@@ -84,23 +90,22 @@ class Model:
         self.weights = project @ solved
 
     def __getstate__(self):
-        return self.__dict__ | {"_grams": None, "_column": None}
+        return self.__dict__ | {"_grams": None}
 
     def kernel(self, texts: list[np.ndarray], batch: int = 256) -> np.ndarray:
         """Kernel values of texts, given as distinct codes, with every landmark."""
-        if self._column is None:
-            self._column = np.full(CODES, -1, np.int32)
-            self._column[self.vocabulary] = np.arange(len(self.vocabulary))
-            self._dense = self.presence.astype(np.float32)
         out = np.empty((len(texts), len(self.sizes)), np.float32)
         for at in range(0, len(texts), batch):
             part = texts[at : at + batch]
-            found = np.zeros((len(part), len(self.vocabulary)), np.float32)
-            for row, codes in enumerate(part):
-                column = self._column[codes]
-                found[row, column[column >= 0]] = 1
-            norm = np.sqrt(np.array([max(1, len(c)) for c in part], np.float32)[:, None] * self.sizes)
-            out[at : at + len(part)] = (found @ self._dense) / norm
+            sizes = np.array([len(c) for c in part])
+            codes, rows = np.concatenate(part), np.repeat(np.arange(len(part)), sizes)
+            for first, vocabulary, presence in self.blocks:
+                place = np.minimum(np.searchsorted(vocabulary, codes), len(vocabulary) - 1)
+                held = vocabulary[place] == codes
+                found = np.zeros((len(part), len(vocabulary)), np.float32)
+                found[rows[held], place[held]] = 1
+                out[at : at + len(part), first : first + presence.shape[1]] = found @ presence.astype(np.float32)
+            out[at : at + len(part)] /= np.sqrt(np.maximum(sizes, 1).astype(np.float32)[:, None] * self.sizes)
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -124,14 +129,18 @@ def train(docs: DataFrame, per_language: int = 400, landmarks: int = 32, languag
     """Learns from at most ``per_language`` texts of each of the most frequent ``languages``.
 
     Texts with the smallest id hashes are taken, with text and lang given, outside the held-out fold;
-    of each language the first ``landmarks`` become landmarks. Only lists of n-gram codes reach the driver.
+    of each language the first ``landmarks`` become landmarks. A threshold on the hash, a little above what a language's count asks for,
+    comes before the ranking, which so sees about as many rows as it keeps. Only the n-gram codes of the sample reach the driver, as arrays.
+    A language beyond the ``languages`` most frequent ones is never predicted.
     """
     known = docs.select("doc_id", F.col("lang").cast("string"), "text")
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~fold(F.col("doc_id"), FOLDS).isin(HELD, -1))
-    names = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select(F.col("lang").alias("of"))
+    names = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select(F.col("lang").alias("of"), "count")
     ranked = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("mark"))
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "mark")))
-    chosen = ranked.where(F.col("rank") <= per_language).join(F.broadcast(names), F.col("lang") == F.col("of"))
+    ranked = ranked.join(F.broadcast(names), F.col("lang") == F.col("of"))
+    ranked = ranked.where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) * F.col("count") <= 1.2 * per_language + 50)
+    order = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 11), "h", "mark")
+    chosen = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
     chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "rank").dropDuplicates(["_id", "_mark"])
     same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_mark"))
     sample = known.join(F.broadcast(chosen), same).select("lang", "rank", text_of().alias("text"))
@@ -143,11 +152,12 @@ def train(docs: DataFrame, per_language: int = 400, landmarks: int = 32, languag
         codes = [grams[0].of(t.as_py()) for t in batch.column("text")]
         return {"lang": batch.column("lang"), "rank": batch.column("rank"), "codes": pa.array(codes, pa.list_(pa.int32()))}
 
-    rows = per_batch(sample, "lang string, rank int, codes array<int>", work).toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["lang"], r["rank"]))
-    found = sorted({r["lang"] for r in rows})
-    examples = [np.array(r["codes"], np.int32) for r in rows]
-    labels = np.array([found.index(r["lang"]) for r in rows], np.int64)
+    rows = per_batch(sample, "lang string, rank int, codes array<int>", work).toArrow().sort_by([("lang", "ascending"), ("rank", "ascending")]).combine_chunks()
+    names_of = rows["lang"].to_pylist()
+    found = sorted(set(names_of))
+    codes = rows["codes"].chunk(0) if rows.num_rows else []
+    examples = [codes[i].values.to_numpy() for i in range(rows.num_rows)]
+    labels = np.array([found.index(name) for name in names_of], np.int64)
     first = [i for k in range(len(found)) for i in np.flatnonzero(labels == k)[:landmarks].tolist()]
     return Model(found, examples, labels, np.array(first, np.int64), ridge)
 

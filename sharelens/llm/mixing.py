@@ -33,7 +33,8 @@ def _tag(source: Column) -> Column:
 
 def measure(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """doc_id, source, size in words, and the permutation key; one pass over the texts."""
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    # rows without an id are told apart by their text, so they do not share one block
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("none:"), F.xxhash64("text").cast("string")))
     return docs.select(
         "doc_id",
         F.col("source").cast("string").alias("source"),

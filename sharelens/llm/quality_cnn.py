@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sharelens.llm.common import class_counts, fold, labelled_sample, learnable, per_batch
@@ -136,16 +136,25 @@ class Network:
                     a -= pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
 
 
+def spread(text: Column, most: int, pieces: int = 16) -> Column:
+    """A text of more than ``most`` bytes as ``pieces`` even pieces of it, first and last included, ``most`` code points in all at most."""
+    size = most // pieces
+    step = F.greatest(F.char_length(text) - size, F.lit(0)) / (pieces - 1)
+    cut = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(text, (F.floor(i * step) + 1).cast("int"), F.lit(size)))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.array_join(cut, "\n"))
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 600, most_bytes: int = 1 << 14, epochs: int = 6) -> Network | float:
     """Learns from at most ``per_class`` texts of each label; a constant where one label is missing.
 
-    Of the texts of the sample, those longer than ``most_bytes`` teach nothing, so the sample is bounded
-    in bytes too; scoring reads every text whole. The odds of all labels correct the balanced sample.
+    A text of the sample longer than ``most_bytes`` teaches through sixteen pieces spread evenly over the whole of it, of as many code
+    points together, so the sample is bounded in bytes too; scoring reads every text whole. The odds of all labels
+    correct the balanced sample.
     """
     known = learnable(labels, "quality", FOLDS, HELD)
     counts = class_counts(known)
     odds = (counts[1] + 0.5) / (counts[0] + 0.5)
-    sample = labelled_sample(docs, known, counts, per_class).where(F.octet_length("text") <= most_bytes)
+    sample = labelled_sample(docs, known, counts, per_class).select(spread(F.col("text"), most_bytes).alias("text"), "label")
     rows = sorted((r["text"], int(r["label"])) for r in sample.collect())
     ones = sum(label for _, label in rows)
     if not 0 < ones < len(rows):

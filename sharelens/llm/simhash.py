@@ -28,6 +28,8 @@ BITS, SEED, RADIUS, SHINGLE = 64, 42, 3, 3
 GROUPS = (11, 11, 11, 11, 10, 10)
 #: Runs up to this size are compared many at a time, longer ones block by block.
 SMALL_RUN = 64
+#: Runs beyond this size are cut into blocks of it, and every two blocks are a task's group of their own.
+LONG_RUN = 1 << 14
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
@@ -158,9 +160,11 @@ def links_in(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return values[nodes], values[nodes[label]]
 
 
-def block_links(values: np.ndarray, start: int, size: int, queries: int = 64, block: int = 1 << 15) -> list:
+def block_links(values: np.ndarray, start: int, size: int, queries: int = 64, block: int = 1 << 15, asking: int = 0) -> list:
     """Spanning links of one long run: groups of queries against blocks of vertical bit planes.
 
+    With ``asking`` only the run's first so many values are compared with the others, none among themselves.
+
     Labels are kept while going, and a link inside one label is dropped at once, so what is held and
     returned is in proportion to the run, not to its links.
     """
@@ -168,11 +172,11 @@ def block_links(values: np.ndarray, start: int, size: int, queries: int = 64, bl
     label = np.arange(size)
     out = []
     every = ~np.uint64(0)
-    for low in range(0, size, block):
+    for low in range(asking, size, block):
         planes = bit_planes(run[low : low + block])
         width = min(block, size - low)
-        for first in range(low, size, queries):
-            group = run[first : first + queries]
+        for first in range(0 if asking else low, asking or size, queries):
+            group = run[first : min(first + queries, asking or size)]
             asked = [np.where(group >> np.uint64(k) & np.uint64(1), every, np.uint64(0))[:, None] for k in range(BITS)]
             flags = within(planes[k][None, :] ^ asked[k] for k in range(BITS))
             if flags is None:
@@ -189,39 +193,103 @@ def block_links(values: np.ndarray, start: int, size: int, queries: int = 64, bl
     return out
 
 
-def near_pairs(prints: DataFrame) -> DataFrame:
-    """Distinct ``fp`` values -> links (a, b): every linked value with the root of its part of each run."""
+def near_pairs(prints: DataFrame, long_run: int = LONG_RUN) -> DataFrame:
+    """Distinct ``fp`` values -> links (a, b): every linked value with the root of its part of each run.
+
+    A task holds at most ``long_run`` values of a run. Those of a longer run are handed on in numbered blocks (``t``, the key as ``b``) and
+    compared block by block.
+    """
     tables = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("k")) for t, m in enumerate(masks())))
     dealt = prints.select("fp", F.explode(tables).alias("x")).select("x.t", "x.k", "fp")
     ordered = dealt.repartition("t", "k").sortWithinPartitions("t", "k")
+    names = ["a", "b", "t", "block"]
+
+    def linked(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        apart = a != b
+        a, b = a[apart].view(np.int64), b[apart].view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int32())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        handed = 0  # blocks of the open run that were handed on
 
         def ready(block: np.ndarray) -> Iterator[pa.RecordBatch]:
             change = np.concatenate(([0], np.cumsum((block[1:, :2] != block[:-1, :2]).any(axis=1))))
-            a, b = links_in(change, np.ascontiguousarray(block[:, 2]).view(np.uint64))
-            apart = a != b
-            yield pa.RecordBatch.from_arrays([pa.array(a[apart].view(np.int64)), pa.array(b[apart].view(np.int64))], ["a", "b"])
+            yield linked(*links_in(change, np.ascontiguousarray(block[:, 2]).view(np.uint64)))
+
+        def hand_on(block: np.ndarray, number: int) -> pa.RecordBatch:
+            n = len(block)
+            columns = [block[:, 2], block[:, 1], block[:, 0].astype(np.int32), np.full(n, number, np.int32)]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal held, handed
+            if held:
+                block = np.concatenate(held)
+                if handed:
+                    yield hand_on(block, handed)
+                else:
+                    yield from ready(block)
+            held, handed = [], 0
 
         for batch in batches:
             rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
             if not len(rows):
                 continue
+            if held and (held[-1][-1, :2] != rows[0, :2]).any():
+                yield from close()
             last = (rows[:, :2] == rows[-1, :2]).all(axis=1)
             cut = int(np.argmax(last))  # rows are sorted: the open run is the tail
             if cut:
-                yield from ready(np.concatenate((*held, rows[:cut])))
-                held = [rows[cut:]]
-            elif held and (held[-1][-1, :2] != rows[0, :2]).any():
-                yield from ready(np.concatenate(held))
-                held = [rows]
-            else:
-                held.append(rows)
+                if handed:  # the long run ends in this batch
+                    end = int(np.argmax((rows[:, :2] != rows[0, :2]).any(axis=1)))
+                    held.append(rows[:end])
+                    yield from close()
+                    rows, cut = rows[end:], cut - end
+                if cut:
+                    yield from ready(np.concatenate((*held, rows[:cut])))
+                    held = []
+                rows = rows[cut:]
+            held.append(rows)
+            while sum(map(len, held)) > long_run:
+                block = np.concatenate(held)
+                yield hand_on(block[:long_run], handed)
+                held, handed = [block[long_run:]], handed + 1
+        yield from close()
+
+    first = settle(ordered.mapInArrow(run, "a bigint, b bigint, t int, block int"))
+    parts = first.where("t is not null").select("t", F.col("b").alias("k"), "block", F.col("a").alias("fp"))
+    sizes = parts.groupBy(F.col("t").alias("_t"), F.col("k").alias("_k")).agg(F.max("block").alias("most"))
+    joined = parts.join(sizes, (F.col("t") == F.col("_t")) & (F.col("k") == F.col("_k")))
+    other = joined.select("t", "k", "block", "fp", F.explode(F.sequence(F.lit(0), "most")).alias("other"))
+    pairs = other.select("t", "k", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fp")
+    keys = ["t", "k", "low", "high", "block"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            rows = np.concatenate(held)
+            values = np.ascontiguousarray(rows[:, 5]).view(np.uint64)
+            asking = int((rows[:, 4] == rows[0, 2]).sum()) if rows[0, 2] != rows[0, 3] else 0
+            for a, b in block_links(values, 0, len(values), asking=asking):
+                yield linked(values[a], values[b]).select(["a", "b"])
+
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+            if not len(rows):
+                continue
+            edges = [0, *(np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1).tolist(), len(rows)]
+            for low, high in zip(edges, edges[1:], strict=False):
+                if held and (held[-1][-1, :4] != rows[low, :4]).any():
+                    yield from done()
+                    held = []
+                held.append(rows[low:high])
         if held:
-            yield from ready(np.concatenate(held))
+            yield from done()
 
-    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+    long = pairs.repartition(*keys[:4]).sortWithinPartitions(*keys).select(*keys, "fp").mapInArrow(compare, "a bigint, b bigint")
+    return first.where("t is null").select("a", "b").union(long).distinct()
 
 
 def contract(links: DataFrame) -> DataFrame:

@@ -115,3 +115,23 @@ def test_missing_labels_give_a_constant(spark, docs, marks):
     none = marks.where("false")
     assert {round(r.score, 6) for r in toxicity.score(docs.limit(5), toxicity.train(docs, none)).collect()} == {0.5}
     assert {round(r.score, 6) for r in quality_cnn.score(docs.limit(5), quality_cnn.train(docs, none)).collect()} == {0.5}
+
+
+def test_long_texts_teach_through_pieces_of_the_whole(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["short", "x" * 40_000 + "the end", "", "é" * 9000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", quality_cnn.spread(F.col("t"), 16_384).alias("s")).orderBy("i").collect()
+    assert rows[0].s == "short" and rows[2].s == "" and rows[1].s.endswith("the end") and len(rows[1].s) == 16 * 1024 + 15
+    assert len(rows[3].s) == 16 * 1024 + 15  # 18,000 bytes
+
+
+def test_language_model_grows_with_its_landmarks():
+    rng = np.random.default_rng(0)
+    count = 60
+    examples = [np.unique(rng.integers(0, language.CODES, 900, dtype=np.int32)) for _ in range(count * 8)]
+    labels = np.repeat(np.arange(count), 8)
+    model = language.Model([f"l{i}" for i in range(count)], examples, labels, np.arange(count * 8), 0.05)
+    assert sum(v.nbytes + p.nbytes for _, v, p in model.blocks) < 10 << 20
+    exact = np.array([[len(np.intersect1d(a, b)) / np.sqrt(len(a) * len(b)) for b in examples] for a in examples[:5]])
+    assert np.allclose(model.kernel(examples[:5]), exact, atol=1e-5)
