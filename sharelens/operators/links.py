@@ -108,7 +108,13 @@ def host_sub_counts(comments: DataFrame, pair_limit: int | None = 20) -> DataFra
     """
     if pair_limit is None:
         return comments.groupBy("host", "subreddit").agg(F.count(F.lit(1)).alias("count"))
-    counted = comments.groupBy("author", "host", "subreddit").agg(F.count(F.lit(1)).alias("n"))
+    return counts_of_light_pairs(comments.groupBy("author", "host", "subreddit").agg(F.count(F.lit(1)).alias("n")), pair_limit)
+
+
+def counts_of_light_pairs(counted: DataFrame, pair_limit: int | None) -> DataFrame:
+    """``host, subreddit, count`` from counts ``n`` by (author, host, subreddit), pairs of (author, host) at the limit left out."""
+    if pair_limit is None:
+        return counted.groupBy("host", "subreddit").agg(F.sum("n").alias("count"))
     of_pair = F.sum("n").over(Window.partitionBy("author", "host"))
     light = counted.withColumn("of_pair", of_pair).where(F.col("of_pair") < pair_limit)
     return light.groupBy("host", "subreddit").agg(F.sum("n").alias("count"))

@@ -8,6 +8,9 @@ from sharelens.functions import text as T
 from sharelens.operators import links
 from sharelens.plans.registry import query
 from sharelens.plans.views import HOST_FLOOR, PAIR_LIMIT, TOP_HOSTS, Views
+from sharelens.session import collect_bounded, scratch_path, settle
+from sharelens.sinks import stores
+from sharelens.streaming import kept_counts
 
 POST_COLUMNS = ["author", "subreddit", "host", "url", "id", "score"]
 
@@ -18,6 +21,25 @@ def author_host_filter(v: Views):
     return links.drop_heavy_pairs(comments, links.heavy_pairs(comments, PAIR_LIMIT))
 
 
+@query("bucketed_posts", "SELECT author, subreddit, host, url, id, score FROM posts_v")
+def bucketed_posts(v: Views):
+    path = scratch_path(v.spark, "posts")
+    name = "posts_" + path.rsplit("-", 1)[-1]
+    stored = stores.write_bucketed(v.comments().select(POST_COLUMNS), name, path, ["author", "host"], 16)
+    return stores.light_posts(stored, PAIR_LIMIT)
+
+
+@query("kept_host_counts", "SELECT host, subreddit, count(*) AS count FROM posts_v GROUP BY host, subreddit")
+def kept_host_counts(v: Views):
+    """Year by year, one of them twice."""
+    path = scratch_path(v.spark, "kept")
+    comments = settle(v.comments().select("author", "host", "subreddit", F.substring("month", 1, 4).alias("year")))
+    years = [r["year"] for r in collect_bounded(comments.select("year").distinct().orderBy("year"), 100, "years")]
+    for year in [*years, years[0]]:
+        kept_counts.replace_parts(comments.where(F.col("year") == year), path, F.col("year"))
+    return kept_counts.kept_counts(v.spark, path, PAIR_LIMIT)
+
+
 @query(
     "host_totals",
     "SELECT host, CAST(sum(n) AS BIGINT) AS sum_count FROM light_pairs_v GROUP BY host ORDER BY 2 DESC, 1",
