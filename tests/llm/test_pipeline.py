@@ -38,8 +38,8 @@ def test_stages(spark, tmp_path):
     assert run == {tuple(r) for r in docs.select("doc_id", "size", "taken").collect()}
 
 
-def test_all_eleven_are_registered():
+def test_all_operators_are_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
