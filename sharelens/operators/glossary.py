@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sharelens.functions import text as T
+from sharelens.operators.membership import keep_listed
 from sharelens.operators.positions import with_position
 from sharelens.session import settle, settle_small
 
@@ -107,4 +108,4 @@ def drop_missing(descriptions: DataFrame) -> DataFrame:
 
 
 def keep_words(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    return words.join(settle_small(vocabulary.select("word")), "word", "left_semi")
+    return keep_listed(words, vocabulary, "word")

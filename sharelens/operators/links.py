@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sharelens.functions.text import SITE_HOSTS, extract_host, extract_url, has_link
+from sharelens.operators.membership import keep_listed
 from sharelens.session import settle, settle_small
 
 MAX_BROADCAST_PAIRS = 1_000_000
@@ -70,8 +71,8 @@ def drop_site_hosts(df: DataFrame) -> DataFrame:
 
 
 def keep_hosts(df: DataFrame, hosts: DataFrame, max_broadcast: int = 100_000) -> DataFrame:
-    """Rows whose host is listed. A short list is broadcast after it was settled and counted."""
-    return df.join(settle_small(hosts.select("host"), max_broadcast), "host", "left_semi")
+    """Rows whose host is listed. A short list is broadcast after it was counted, a longer one becomes a Bloom filter first."""
+    return keep_listed(df, hosts, "host", max_broadcast)
 
 
 def select_link_posts(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sharelens.functions import text as T
-from sharelens.operators import links
+from sharelens.operators import links, membership
 from sharelens.plans.registry import query
 from sharelens.plans.views import HOST_FLOOR, PAIR_LIMIT, TOP_HOSTS, Views
 from sharelens.session import collect_bounded, scratch_path, settle
@@ -67,6 +67,21 @@ def host_totals_floor(v: Views):
     ).select(*POST_COLUMNS, "labels")
 
 
+@query(
+    "long_host_list",
+    """
+    SELECT host, count(*) AS posts, CAST(sum(score) AS BIGINT) AS score FROM comments_v
+    WHERE host IN (SELECT 'p' || p_partkey || '.com' FROM part WHERE p_size > 5) GROUP BY host""",
+)
+def long_host_list(v: Views):
+    """The allow-list through the Bloom filter, whatever its length."""
+    allowed = v.part.where("p_size > 5").select(
+        F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".com")).alias("host")
+    )
+    listed = membership.keep_listed(v.comments().select("host", "score"), allowed, "host", 0)
+    return listed.groupBy("host").agg(F.count(F.lit(1)).alias("posts"), F.sum("score").alias("score"))
+
+
 @query("host_sub_counts", "SELECT host, subreddit, count(*) AS count FROM posts_v GROUP BY host, subreddit")
 def host_sub_counts(v: Views):
     return links.host_sub_counts(v.comments(), PAIR_LIMIT)
