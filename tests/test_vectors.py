@@ -213,3 +213,22 @@ def test_partition_count_does_not_change_results(spark):
     a = neighbours.nearest_neighbours(vectors.repartition(1), 3).collect()
     b = neighbours.nearest_neighbours(vectors.repartition(7), 3, block_rows=9).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+@pytest.mark.parametrize("slice_rows,most", [(1 << 17, 16), (3, 16), (1, 2)])
+def test_host_vectors_are_summed_where_the_hosts_are(spark, monkeypatch, slice_rows, most):
+    """Every way of joining gives the same sums; with broadcasts only the narrow counts are shuffled."""
+    monkeypatch.setattr(ops, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(ops, "MAX_SLICES", most)
+    vectors = [(f"s{i}", [float(i), 1.0, -2.0]) for i in range(7)] + [("s1", [5.0, 0.0, 1.0]), ("s8", None), (None, [1.0, 1.0, 1.0])]
+    counts = [("a", "s0", 2), ("a", "s1", 3), ("a", "nowhere", 9), ("b", "s6", 1), ("b", "s8", 4), ("c", "s8", 1), (None, "s2", 1), ("d", None, 1)]
+    found = ops.host_vectors(
+        spark.createDataFrame(counts, "host string, subreddit string, count bigint"), spark.createDataFrame(vectors, "id string, vec array<double>"), 3
+    )
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert (text.count("Exchange hashpartitioning") == 1) == (slice_rows > 1)
+    by_host = {r.host: r.vec for r in found.collect()}
+    sums = {"a": [18.0, 5.0, -7.0], "b": [6.0, 1.0, -2.0], None: [2.0, 1.0, -2.0]}
+    assert set(by_host) == {"a", "b", "c", None} and by_host["c"] is None
+    for host, want in sums.items():
+        assert by_host[host] == pytest.approx((np.array(want) / np.linalg.norm(want)).tolist())
