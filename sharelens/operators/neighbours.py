@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sharelens.functions.vectors import difference, unit
-from sharelens.session import collect_bounded, settle
+from sharelens.session import collect_bounded, hint_small, settle
 
 _DIGITS = 12  # similarities equal to this precision are ties, broken by id
 #: Bounds of what every task gets of a metric index: pivots, and a few numbers a block.
 MAX_PIVOTS, MAX_BLOCKS = 4096, 1_000_000
-_STRIP = 512  # rows multiplied at a time inside a task
+_CELLS = 1 << 20  # products held at a time inside a task
+_HELD = 1 << 17  # rows that a task of the pruned search holds: 64 MB at a width of 64
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
@@ -27,17 +28,22 @@ def _matrix(table: pa.Table) -> np.ndarray:
 def _best_columns(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column numbers of the k largest per row, ties to the left."""
     k = min(k, sims.shape[1])
-    kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
+    low = -sims
+    low.partition(k - 1, axis=1)
+    kth = -low[:, k - 1 : k]
+    del low
     above = sims > kth
     level = sims == kth
     room = k - above.sum(axis=1, keepdims=True)
-    keep = (above | (level & (level.cumsum(axis=1) <= room))) & (sims > -np.inf)
+    keep = (above | (level & (level.cumsum(axis=1, dtype=np.int32) <= room))) & (sims > -np.inf)
     return np.nonzero(keep)
 
 
 def _against(ids, left, other_ids, right, k, same):
-    for start in range(0, len(left), _STRIP):
-        sims = np.round(left[start : start + _STRIP] @ right.T, _DIGITS)
+    strip = max(1, _CELLS // max(1, len(right)))
+    for start in range(0, len(left), strip):
+        sims = left[start : start + strip] @ right.T
+        np.round(sims, _DIGITS, out=sims)
         if same:
             rows = np.arange(len(sims))
             sims[rows, rows + start] = -np.inf
@@ -110,7 +116,7 @@ class Balls:
 
     Pivots are the vectors with the smallest hashes, a bounded number that every task gets; a vector belongs to its nearest pivot. Balls with
     more than ``block_rows`` rows are cut into several blocks. ``packed`` has one row a block (block, ids, flat, reach), ``own`` the k best of
-    every id inside its block, and ``asks`` the pairs (block, other) of blocks that may hold a better one: by the triangle
+    every id inside its block, ``rows`` a row a vector (block, id, reach, vec), and ``asks`` the pairs (block, other) of blocks that may hold a better one: by the triangle
     inequality two vectors are at least the angle of their pivots less both radii apart, and ``reach`` is the angle of an id's k-th best.
     """
 
@@ -154,9 +160,14 @@ class Balls:
         self.packed = settle(grouped.mapInArrow(inside, schema))
         one = F.explode(F.arrays_zip("c1", "c2", "similarity")).alias("x")
         self.own = self.packed.select(one).select("x.c1", "x.c2", "x.similarity")
-        found = collect_bounded(self.packed.select("block", "radius", F.array_max("reach").alias("reach")).orderBy("block"), MAX_BLOCKS, "blocks")
-        blocks, radius, reach = (np.array([r[c] for r in found]) for c in ("block", "radius", "reach"))
-        self.blocks = len(blocks)
+        width = F.lit(middle.shape[1] if len(middle) else 1)
+        each = F.transform(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: F.slice("flat", i * width + 1, width))
+        row = F.explode(F.arrays_zip(F.col("ids").alias("id"), "reach", each.alias("vec"))).alias("x")
+        self.rows = self.packed.select("block", row).select("block", "x.id", "x.reach", "x.vec")
+        short = self.packed.select("block", "radius", F.array_max("reach").alias("reach"), F.size("ids").alias("n"))
+        found = collect_bounded(short.orderBy("block"), MAX_BLOCKS, "blocks")
+        blocks, radius, reach, sizes = (np.array([r[c] for r in found]) for c in ("block", "radius", "reach", "n"))
+        self.blocks, self.numbers, self.sizes, self.radius, self.middle = len(blocks), blocks, sizes, radius, middle
 
         def partners(batches):
             for batch in batches:
@@ -171,32 +182,94 @@ class Balls:
         self.asks = self.packed.select("block").mapInArrow(partners, "block bigint, other bigint, apart double")
 
 
-def pruned_neighbours(vectors: DataFrame, k: int = 10, block_rows: int = 4096, pivots: int | None = None) -> DataFrame:
+def _offer(best: list, ids: np.ndarray, y: np.ndarray, k: int, apart: float) -> None:
+    """Lets the rows ``best`` (their x, k-th similarity, similarities, ids) keep what is better of ``ids``, which are in order; ties go to the smaller id."""
+    x, least, kept, names = best
+    wanted = np.flatnonzero(np.arccos(np.clip(least, -1, 1)) + 1e-6 >= apart)
+    strip = max(1, _CELLS // max(1, len(ids)))
+    for start in range(0, len(wanted), strip):
+        rows = wanted[start : start + strip]
+        sims = x[rows] @ y.T
+        r, c = np.nonzero(sims >= least[rows, None] - 1e-11)
+        v = np.round(sims[r, c], _DIGITS)
+        order = np.lexsort((c, -v, r))
+        r, c, v = r[order], c[order], v[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        r, c, v, place = (a[place < k] for a in (r, c, v, place))
+        touched, at = np.unique(r, return_inverse=True)
+        if not len(touched):
+            continue
+        new, new_names = np.full((len(touched), k), -np.inf), np.full((len(touched), k), None, object)
+        new[at, place], new_names[at, place] = v, ids[c]
+        at = rows[touched]
+        both, both_names = np.hstack([kept[at], new]), np.hstack([names[at], new_names])
+        order = np.argsort(-both, axis=1, kind="stable")
+        both, both_names = np.take_along_axis(both, order, 1), np.take_along_axis(both_names, order, 1)
+        for i in np.flatnonzero(((both[:, 1:] == both[:, :-1]) & (both[:, 1:] > -np.inf)).any(axis=1)):
+            real = int((both[i] > -np.inf).sum())
+            pairs = zip(both[i, :real], both_names[i, :real], strict=True)
+            both_names[i, :real] = [p[1] for p in sorted(pairs, key=lambda p: (-p[0], p[1] is not None, p[1] or ""))]
+        kept[at], names[at] = both[:, :k], both_names[:, :k]
+        least[at] = np.maximum(least[at], both[:, k - 1])
+
+
+def pruned_neighbours(vectors: DataFrame, k: int = 10, block_rows: int = 4096, pivots: int | None = None, held_rows: int = _HELD) -> DataFrame:
     """The rows of :func:`nearest_neighbours`, without the block pairs that cannot hold a better neighbour.
 
     Exact: a pair of blocks is left out only where the triangle inequality on angles rules it out, and within a pair only ids whose k-th best
     is farther than the blocks are apart are multiplied. What is saved depends on how clustered the vectors are; without clusters
-    every pair is looked at from both sides, and ``nearest_neighbours`` does half the work. A task holds two blocks.
+    every pair is looked at from both sides, and ``nearest_neighbours`` does half the work.
+
+    Blocks are dealt into groups, two for each core or as many as ``held_rows`` rows a group need. A task holds the rows of its group and the
+    k best of each, and the blocks that any of them asks for pass by in order, so a vector is shuffled once a group and not once a pair
+    of blocks, and an id hands on k rows in all.
     """
     balls = Balls(vectors, k, block_rows, pivots)
-    asks = settle(balls.asks)
-    left = asks.join(balls.packed.select("block", "ids", "flat", "reach"), "block")
-    fresh = asks.select(F.col("block").alias("of"), F.col("other").alias("at"))
-    right = fresh.join(balls.packed.select(F.col("block").alias("at"), F.col("ids").alias("names"), F.col("flat").alias("values")), "at")
+    spark = vectors.sparkSession
+    n = max(1, int(balls.sizes.sum()))
+    groups = max(1, min(balls.blocks, max(2 * spark.sparkContext.defaultParallelism, math.ceil(n / held_rows))))
+    before = np.cumsum(balls.sizes) - balls.sizes
+    of = [(int(b), int(p) * groups // n) for b, p in zip(balls.numbers, before, strict=True)]
+    dealt = hint_small(settle(spark.createDataFrame(of, "block bigint, grp int")), MAX_BLOCKS)
+    asked = balls.asks.join(dealt, "block").select(F.col("other").alias("block"), "grp").distinct()
+    left = balls.rows.join(dealt, "block").select("grp", F.lit(0).alias("kind"), "block", "id", "reach", "vec")
+    right = balls.rows.join(hint_small(settle(asked), MAX_BLOCKS), "block").select("grp", F.lit(1).alias("kind"), "block", "id", F.lit(0.0).alias("reach"), "vec")
+    # more partitions than groups, so that few of them meet in one
+    stream = left.union(right).repartition(8 * groups, "grp").sortWithinPartitions("grp", "kind", "block", "id")
+    numbers, radius, middle = balls.numbers, balls.radius, balls.middle
     schema = pa.schema([("c1", pa.string()), ("c2", pa.string()), ("similarity", pa.float64())])
 
-    def opened(table, ids, flat):
-        ids = table[ids].chunk(0)[0].values
-        return ids, table[flat].chunk(0)[0].values.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-
-    def meet(one: pa.Table, two: pa.Table) -> pa.Table:
-        ids, x = opened(one, "ids", "flat")
-        others, y = opened(two, "names", "values")
-        open_ids = np.flatnonzero(one["reach"].chunk(0)[0].values.to_numpy(zero_copy_only=False) + 1e-6 >= one["apart"][0].as_py())
-        parts = _against(ids.take(pa.array(open_ids)), x[open_ids], others, y, k, False)
-        return pa.Table.from_batches([pa.record_batch(list(p), schema=schema) for p in parts], schema=schema)
-
-    met = left.groupBy("block", "other").cogroup(right.groupBy("of", "at")).applyInArrow(meet, "c1 string, c2 string, similarity double")
+    def result(held):
+        for _, ids, (_, _, kept, names) in held:
+            r, c = np.nonzero(kept > -np.inf)
+            yield pa.record_batch([pa.array(ids[r], pa.string()), pa.array(names[r, c], pa.string()), pa.array(kept[r, c])], schema=schema)
+
+    def meet(batches):
+        group, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("grp", "kind", "block")])
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for start, stop in zip(edges, edges[1:], strict=False):
+                part = batch.slice(start, stop - start)
+                number, kind, block = keys[:, start].tolist()
+                if number != group:
+                    yield from result(held)
+                    group, held = number, []
+                ids, x = part.column("id").to_numpy(zero_copy_only=False), _matrix(pa.Table.from_batches([part]))
+                if kind == 0:
+                    least = np.cos(part.column("reach").to_numpy()) - 1e-9
+                    held.append((block, ids, [x, least, np.full((len(ids), k), -np.inf), np.full((len(ids), k), None, object)]))
+                    continue
+                j = int(np.searchsorted(numbers, block))
+                for own, _, best in held:
+                    if own != block:
+                        angle = np.arccos(np.clip(middle[own >> 32] @ middle[block >> 32], -1, 1))
+                        _offer(best, ids, x, k, angle - radius[int(np.searchsorted(numbers, own))] - radius[j])
+        yield from result(held)
+
+    met = stream.mapInArrow(meet, "c1 string, c2 string, similarity double")
     best = Window.partitionBy("c1").orderBy(F.desc("similarity"), "c2")
     return balls.own.union(met).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

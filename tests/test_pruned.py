@@ -32,3 +32,27 @@ def test_few_and_no_rows(spark):
     some = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, vec array<double>")
     assert {(r.c1, r.c2) for r in neighbours.pruned_neighbours(some).collect()} == {("a", "b"), ("b", "a")}
     assert neighbours.pruned_neighbours(some.where("false")).count() == 0
+
+
+def test_a_vector_is_shuffled_once_a_group(spark, monkeypatch):
+    """What is shuffled grows with the groups, not with the blocks; several groups and ties between them give the complete search."""
+    v = vectors(spark, 0, 300)
+    balls = neighbours.Balls(v, 4, 16)
+    frame, dealt = type(v), []
+    repartition = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *cols: dealt.append(self) or repartition(self, n, *cols))
+    got = neighbours.pruned_neighbours(v, 4, 16, held_rows=100)
+    groups = 2 * spark.sparkContext.defaultParallelism
+    rows = dealt[0].count()
+    assert balls.blocks > 1.5 * groups and rows <= 341 * (groups + 1) < balls.asks.count() * 16 / 2
+    got = sorted((r.c1, r.c2, r["rank"]) for r in got.collect())
+    assert got == sorted((r.c1, r.c2, r["rank"]) for r in neighbours.nearest_neighbours(v, 4).collect())
+
+
+def test_a_task_holds_few_products_whatever_the_block(monkeypatch):
+    sizes, rounded = [], np.round
+    monkeypatch.setattr(np, "round", lambda a, *args, **kw: sizes.append(a.size) or rounded(a, *args, **kw))
+    x = np.random.default_rng(0).normal(size=(3000, 4))
+    ids = __import__("pyarrow").array([str(i) for i in range(3000)])
+    assert sum(len(p[0]) for p in neighbours._against(ids, x, ids, x, 3, True)) == 9000
+    assert max(sizes) <= 1 << 20
