@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from sharelens.operators import links
+from sharelens.operators import links, membership
 
 COLUMNS = "author string, host string, subreddit string, url string, id string, score int"
 
@@ -68,3 +68,17 @@ def test_top_hosts_breaks_ties_by_name(spark):
     counts = spark.createDataFrame([("b", "s", 2), ("a", "s", 2), ("c", "s", 5)], "host string, subreddit string, count bigint")
     assert [r.host for r in links.top_hosts(counts, 2).collect()] == ["c", "a"]
     assert {r.host for r in links.counts_of_top_hosts(counts, 2).collect()} == {"c", "a"}
+
+
+def test_hosts_are_cut_out_of_urls_once_a_row(spark, monkeypatch):
+    """Also where the long lists are tried by a Bloom filter, which mentions the host many times."""
+    monkeypatch.setattr(links, "keep_listed", lambda df, listed, key, most: membership.keep_listed(df, listed, key, 0))
+    rows = [(f"a{i}", f"https://www.h{i % 3}.com/{i}", "s", str(i), 1) for i in range(30)] + [("b", None, "s", "x", 1)]
+    df = links.with_host(spark.createDataFrame(rows, "author string, url string, subreddit string, id string, score int"))
+    allowed = spark.createDataFrame([("h1.com",), ("h2.com",)], "host string")
+    plans, checkpoint = [], type(df).checkpoint
+    text = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(type(df), "checkpoint", lambda x, *args, **kw: plans.append(text(x)) or checkpoint(x, *args, **kw))
+    posts = links.select_link_posts(df, None, allowed, 2, 4)
+    assert max(p.count("regexp_extract(") for p in [*plans, text(posts)]) == 1
+    assert {(r.host, r.id) for r in posts.collect()} == {(f"h{i % 3}.com", str(i)) for i in range(30) if i % 3}
